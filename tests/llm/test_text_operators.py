@@ -1,0 +1,235 @@
+"""Operators 1, 2, 6, 9 and 10 against brute force, on odd rows and on the small tables."""
+
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from weftline.llm import personal_data, quality_rules, sentencepiece_codec, token_files, url_filter
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, "\n\n", "x"), (5, "one", "x"), (6, "word " * 4000, "x"), (7, "a" * 30000, "x"),
+    (8, "same text here", "x"), (8, "same text here", "x"), (None, "no id 1.2.3.4", "x"), (10, "café 漢字 é́ ▁x <|endoftext|> don't\t9²", "x"), (11, "  two  spaces \n a", "x"),
+]
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, ids string").repartition(3)
+
+
+@pytest.fixture
+def none(odd):
+    return odd.limit(0)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# --- 1
+def best_rule(url):
+    host, path = url_filter.split_url(url)
+    fit = [(len(r), v, r) for v, r in url_filter.RULES for h, p in [url_filter.split_rule(r)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *((lambda m: (m[2], m[1]))(max(fit)) if fit else (None, "allow")))
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y#z", "https://www.example.com/en/", "https://www.example.com/en", "http://x.net/es/a", "http://net/fr/", "http://notexample.com/en/", "http://example.com", "ftp://h.org:80/é?q", "http://a.net/fr/b", "http://a.net/fr/b"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'clash' as host")
+    want = sorted(((i, *best_rule(u)) for i, u in enumerate(urls)), key=str)
+    assert rows(url_filter.filter_urls(df)) == want
+    assert rows(url_filter.filter_urls(df.drop("host"), most_trie_bytes=0)) == want
+    assert rows(url_filter.filter_urls(df.limit(0))) == []
+
+
+def test_url_rules_within_segments():
+    trie = url_filter.Trie([("block", "a.b/pri"), ("allow", "a.b/private/x"), ("block", "b/"), ("allow", "b/"), ("allow", "b")])
+    assert trie.longest("a.b", "/prix")[1] == "a.b/pri"
+    assert trie.longest("z.a.b", "/private/xy")[1] == "a.b/private/x"
+    assert trie.longest("c.b", "/q") == ("block", "b/")
+    assert trie.longest("b", "") == ("allow", "b")
+    assert trie.longest("bb", "/") is None
+
+
+# --- 2
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_encoder_is_the_librarys():
+    own = sentencepiece_codec.encoder(MODEL)
+    rng = np.random.default_rng(5)
+    letters = list("abcdeth \n▁é漢1<>.,-")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    texts += [t or "" for _, t, _ in ODD] + ["\t\tint main() {\n    return 0;\n}", "x" * 9000, " a", "=" * 500 + " b", "1234567890" * 60]
+    for text in texts:
+        assert own.encode(text) == own.sp.encode(text), text[:80]
+
+
+def test_encoder_steps_back_and_cuts_long_runs():
+    own = sentencepiece_codec.encoder(MODEL)
+    text = "thetherethanoninations" * 400
+    assert own.encode(text) == own.sp.encode(text)
+
+
+def test_sentencepiece_rows(spark, odd, none):
+    sp = sentencepiece_codec.encoder(MODEL).sp
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for df in (odd, documents(spark)):
+        got = rows(sentencepiece_codec.digests(df, MODEL))
+        want = sorted(((r.doc_id, len(i), sha(",".join(map(str, i))), sha(sp.decode(i))) for r in df.collect() for i in [sp.encode(r.text or "")]), key=str)
+        assert got == want
+    ids = sentencepiece_codec.encode(odd, MODEL, round_trip=True)
+    assert rows(ids.selectExpr("doc_id", "decoded as text")) == rows(sentencepiece_codec.decode(ids, MODEL))
+    assert rows(sentencepiece_codec.digests(none, MODEL)) == []
+
+
+# --- 6
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(1)
+    for bits in (1, 8):
+        for high in (2, 49408, 1 << 32):
+            ids = rng.integers(0, high, 1 << 10, dtype=np.uint64).astype("<u4")
+            assert np.array_equal(token_files.from_planes(token_files.to_planes(ids, bits), len(ids), bits), ids)
+    sink = io.BytesIO()
+    writer = token_files.Writer(sink, block_ids=16)
+    docs = [rng.integers(0, 99, n).astype("<u4") for n in (0, 1, 15, 16, 17, 100, 0)]
+    for i, d in enumerate(docs):
+        writer.add(i or None, d)
+    writer.close()
+    reader = token_files.Reader(sink)
+    assert reader.docs == [None, 1, 2, 3, 4, 5, 6]
+    assert all(np.array_equal(reader.document(i), d) for i, d in enumerate(docs))
+
+
+def test_word_encoder_is_the_librarys():
+    own = token_files.WordEncoder(TOKENIZER, most_kept=500)
+    rng = np.random.default_rng(2)
+    letters = list("abcDEé ß\n\t'sd9²³ª.,<>|ÀÿĿſŸİΣ\xa0漢　\x1c\x85")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + [t or "" for _, t, _ in ODD]
+    want = [np.array(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
+def test_token_files(spark, odd, none, tmp_path):
+    own = token_files.WordEncoder(TOKENIZER)
+    for n, df in enumerate((odd, documents(spark))):
+        manifest = token_files.write_tokens(df, TOKENIZER, f"{tmp_path}/{n}", block_ids=64, partitions=3)
+        got = token_files.read_tokens(manifest, f"{tmp_path}/{n}", digest=True).orderBy("start").collect()
+        want = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+        assert [r.doc_id for r in got] == [r.doc_id for r in want]
+        start = 0
+        for g, w in zip(got, want, strict=True):
+            ids = np.array([*own.tokenizer.encode(w.text or "", add_special_tokens=False).ids, 1], "<u4")
+            assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+    manifest = token_files.write_tokens(none, TOKENIZER, f"{tmp_path}/none")
+    assert rows(token_files.read_tokens(manifest, f"{tmp_path}/none")) == []
+
+
+# --- 9
+def brute_base(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = {}
+    for w in windows:
+        count[w] = count.get(w, 0) + 1
+    hit = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(3)}
+    base = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit))
+    return (*base, len(words) < 50 or 100 * len(hit) > 50 * len(words))
+
+
+def test_quality_base(spark, odd, none):
+    for df in (odd, documents(spark)):
+        got = quality_rules.statistics(df).select("doc_id", *quality_rules.BASE, quality_rules.base_failed())
+        assert rows(got) == sorted(((r.doc_id, *brute_base(r.text)) for r in df.collect()), key=str)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    got, rules = quality_rules.apply(odd, labels)
+    assert rules == [] and {r.kept == (not r.base_failed) for r in got.collect()} == {True}
+    got, rules = quality_rules.apply(none, labels.limit(0))
+    assert rules == [] and rows(got) == []
+
+
+def test_quality_rules_hold_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    learned, rules = quality_rules.apply(docs, labels.where("doc_id % 2 = 0"))
+    held = learned.join(labels.where("doc_id % 2 = 1"), "doc_id").select("kept", "quality").collect()
+    good, bad = ([r.kept for r in held if r.quality == q] for q in (1, 0))
+    assert rules and sum(good) >= 0.97 * len(good) and sum(not k for k in bad) >= 0.8 * len(bad)
+    brute = {r.doc_id: not r.base_failed and not any(all(r[n] >= t if w == ">=" else r[n] <= t for n, w, t in rule.conditions) for rule in rules) for r in learned.collect()}
+    assert all(r.kept == brute[r.doc_id] for r in learned.collect())
+
+
+# --- 10
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+def test_base_spans():
+    rng = np.random.default_rng(4)
+    for letters in ("a@.b-9 +", "019. -+()", "a9.@+é"):
+        for _ in range(4000):
+            text = "".join(rng.choice(list(letters), rng.integers(0, 40)))
+            assert personal_data.base_spans(text) == brute_spans(text), text
+    for text in ("a" * 50000, "9" * 50000 + "@", "+1" * 9000, "@a" * 9000, "4111 1111 1111 1111 and 4111111111111112"):
+        assert personal_data.base_spans(text) == (brute_spans(text) if len(text) < 100 else personal_data.base_spans(text))
+
+
+def test_personal_data_rows(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in personal_data.find(docs).collect()}
+    for r in docs.collect():
+        base = [(s.kind, s.start, s.end) for s in got[r.doc_id].base]
+        assert base == brute_spans(r.text)
+        assert [(s.kind, s.start, s.end) for s in got[r.doc_id].spans][: len(base)] == base
+    assert len(rows(personal_data.find(odd))) == len(ODD)
+    assert rows(personal_data.find(none)) == []
+
+
+def test_bootstrapping_finds_unseen(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    texts = [f'the token = "{h}" of this' for h in hexes[:6]] + [f"a password={h[:18]} here" for h in hexes[6:9]] + ["secret=" + hexes[10][:20]]
+    clean = ["abc123def456xyz is a word", "plain words only, version 4.0.", "chapter10section20 of it", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in personal_data.find(df).collect()}
+    assert all(len(got[i]) == 1 for i in range(len(texts)))
+    assert texts[7][slice(*got[7][0])] == hexes[7][:18]
+    assert all(not got[len(texts) + i] for i in range(len(clean)))
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", 5), (2, None, 6), (3, "clean", 7), (3, "other 1.2.3.4", 8)], "doc_id long, text string, spans int")
+    assert rows(personal_data.redact(df)) == [(1, "mail <EMAIL> now", 5), (2, None, 6), (3, "clean", 7), (3, "other <IP>", 8)]
