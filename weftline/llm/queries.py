@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, sentencepiece_codec, token_files, url_filter
+from . import personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_sentencepiece": sentencepiece_codec.query,
+    "op4_source_mixing": source_mixing.query,
     "op6_token_files": token_files.query,
+    "op8_sentence_spans": sentence_spans.query,
     "op9_quality_rules": quality_rules.query,
     "op10_personal_data": personal_data.query,
 }
-SQL = {"op1_url_filter": url_filter.SQL}
+SQL = {"op1_url_filter": url_filter.SQL, "op4_source_mixing": source_mixing.SQL}
