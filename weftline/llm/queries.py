@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter
+from . import page_text, personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_sentencepiece": sentencepiece_codec.query,
+    "op3_page_text": page_text.query,
     "op4_source_mixing": source_mixing.query,
     "op6_token_files": token_files.query,
     "op8_sentence_spans": sentence_spans.query,
