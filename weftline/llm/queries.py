@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import page_text, personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter
+from . import page_text, personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter, vector_links
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_page_text": page_text.query,
     "op4_source_mixing": source_mixing.query,
     "op6_token_files": token_files.query,
+    "op7_vector_links": vector_links.query,
     "op8_sentence_spans": sentence_spans.query,
     "op9_quality_rules": quality_rules.query,
     "op10_personal_data": personal_data.query,
