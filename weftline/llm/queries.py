@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import page_text, personal_data, quality_rules, sentence_spans, sentencepiece_codec, source_mixing, token_files, url_filter, vector_links
+from . import page_text, personal_data, quality_rules, sentence_spans, sentencepiece_codec, shingle_join, source_mixing, token_files, url_filter, vector_links
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_sentencepiece": sentencepiece_codec.query,
     "op3_page_text": page_text.query,
     "op4_source_mixing": source_mixing.query,
+    "op5_shingle_join": shingle_join.query,
     "op6_token_files": token_files.query,
     "op7_vector_links": vector_links.query,
     "op8_sentence_spans": sentence_spans.query,
