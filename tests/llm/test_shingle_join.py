@@ -61,14 +61,14 @@ def planted(seed=1, groups=12, most=14, hot=0):
     return [(k, t) for k, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("block", [512, 40])
-def test_planted(spark, block):
+@pytest.mark.parametrize(("small_run", "block"), [(32, 512), (2, 40)])
+def test_planted(spark, small_run, block):
     docs = planted(hot=160)
     docs += [(9000, None), (9001, ""), (9002, " \n"), (9003, "A b"), (9004, "a B"), (9005, "a b c d e"), (9005, "a b c d e"), (None, "a b c d E"), (None, "null id"), (9006, "x " * 9000), (9007, "x " * 8000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n").repartition(4)
     want = brute(docs)
     assert len({w[2] for w in want}) > 60
-    assert rows(shingle_join.components(df, block=block)) == want
+    assert rows(shingle_join.components(df, small_run=small_run, block=block)) == want
 
 
 def test_small_table(spark):

@@ -10,8 +10,10 @@ Texts are sets of distinct word shingles; two link when their Jaccard similarity
 4. What is left are runs that hold several components.  They are cut into tiles; a large run's tiles are of bands of
    sizes (of two sizes that can link, one is in the other's band or the next) and of blocks within a band.  In a tile
    every pair of unlike components meets: the bits in which two bitmap signatures differ bound the overlap from above,
-   and pairs that pass are verified by exact intersection of their sorted arrays.  Small runs send their pairs, each
-   once; tiles of large runs verify within the tile and send the links that join components alone.
+   and pairs that pass are verified by exact intersection of their sorted arrays.  Signatures come in two lengths; the
+   short one goes first, and only what it lets through is sent the long one, then the arrays.  Small runs send their
+   pairs, each once; tiles of large runs send the sets that have a likely partner, never pairs, verify within the tile
+   and give the links that join components alone.
 
 So no link is missed, no pair is sent for a run that is one component already, and no task holds a whole hot run.
 
@@ -36,8 +38,8 @@ from .common import connected_components, mix, slices, stored, text_bytes, windo
 #: Slots of the table of counts (a power of two): what is broadcast has one byte each, whatever the input.
 SLOTS_LOG2 = 20
 SLICES = 32
-#: Rows of a run up to which it is one tile, and of a block of a larger one.
-BLOCK = 512
+#: Rows of a run up to which its pairs are sent, and rows up to which a larger one is one tile, and of a block of it.
+SMALL, BLOCK = 32, 512
 #: Ids up to which the texts to verify are picked by a broadcast (16 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
@@ -242,8 +244,8 @@ class _Corpus:
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.width, self.classes = width, classes
 
-    def arrays(self, nodes: DataFrame) -> DataFrame:
-        """(node, array, bits) of the nodes (distinct), as packed sorted hashes and signatures."""
+    def read(self, nodes: DataFrame, arrays: bool) -> DataFrame:
+        """(node, array or null, bits, short) of the nodes (distinct), as packed sorted hashes and signatures; others may be among them."""
         wanted = stored(nodes.join(self.classes.select("node", F.col("rep").alias("id")), "node"), "wanted")
         docs, width = self.docs, self.width
         ids = wanted.select("id").distinct()
@@ -254,10 +256,30 @@ class _Corpus:
             for batch in slices(batches, "text", 1 << 20):
                 shingle, bounds = shingle_sets(*text_bytes(batch.column(0)), width)
                 sets = [shingle[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(shingle, bounds)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["node", "array", "bits"])
+                bits = [bitmap(s) for s in sets]
+                cols = [[s.tobytes() if arrays else None for s in sets], [b.tobytes() for b in bits], [_fold(b, max(1, len(b) // 4)).tobytes() for b in bits]]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(shingle, bounds)), *(pa.array(c, pa.binary()) for c in cols)], names=["node", "array", "bits", "short"])
 
-        made = texts.select("text").mapInArrow(run, "node long, array binary, bits binary")
-        return stored(made.join(wanted.select("node"), "node", "left_semi"), "arrays")
+        return stored(texts.select("text").mapInArrow(run, "node long, array binary, bits binary, short binary"), "arrays")
+
+
+def _bounded(pairs: DataFrame, bits: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) whose long signatures let them link."""
+    one = lambda end: bits.join(sizes, "node").select(F.col("node").alias(end), F.col("bits").alias(f"{end}_bits"), F.col("n").alias(f"{end}_n"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_bits", "b_bits", "a_n", "b_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for s, t, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                s, t = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(t.as_buffer(), "<u8")
+                words = min(len(s), len(t))
+                differ = int(np.bitwise_count(_fold(s, words) ^ _fold(t, words)).sum())
+                ok.append((n + m - differ) // 2 >= least_overlap(n, m, threshold))
+            got = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, arrays: DataFrame, threshold: int) -> DataFrame:
@@ -300,7 +322,7 @@ def _tile_pairs(tile: np.ndarray, step: int = 1 << 21) -> Iterator[tuple[np.ndar
         yield np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _tiles(runs: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+def _tiles(runs: DataFrame, labels: DataFrame, small_run: int, block: int) -> DataFrame:
     """(token, lo, hi, unit, node, n, label, small) of the runs with several components, as tiles."""
     labelled = runs.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "labelled")
@@ -309,7 +331,7 @@ def _tiles(runs: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("long")
     blocks = F.ceil(F.col("m") / block).cast("long")
     unit = F.lit(1 << 32) * band + F.pmod(F.xxhash64("node"), blocks)
-    small = rows.where(F.col("m") <= block).withColumns({"unit": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "small": F.lit(True)})
+    small = rows.where(F.col("m") <= block).withColumns({"unit": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "small": F.col("m") <= small_run})
     large = rows.where(F.col("m") > block).withColumns({"unit": unit, "band": band, "blocks": blocks})
     large = large.withColumn("step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     other = F.lit(1 << 32) * (F.col("band") + F.col("step")) + F.col("salt")
@@ -346,7 +368,7 @@ def _likely(tile: np.ndarray, c: dict[str, np.ndarray], bits: list[np.ndarray],
 
 
 def _compare(tiles: DataFrame, bits: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """Rows (a, b) of small runs' likely pairs; rows (token, lo, hi, unit, node, n, label) of large ones' nodes with any."""
+    """Rows (a, b) of small runs' likely pairs; rows (token, lo, hi, unit, node, n, label) of large ones' nodes with any.  bits: (node, bits)."""
 
     def run(table: pa.Table) -> pa.Table:
         table, tile, c = _open_tiles(table)
@@ -398,10 +420,10 @@ def _within(rows: DataFrame, arrays: DataFrame, threshold: int, buckets: int) ->
                     seen.add(pair)
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
-    return _by_tile(rows.join(arrays, "node"), buckets).applyInArrow(run, "a long, b long")
+    return _by_tile(rows.join(arrays.select("node", "array", "bits"), "node"), buckets).applyInArrow(run, "a long, b long")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, block: int = BLOCK) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, small_run: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) of every row; threshold in per cent."""
     n_buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = _sets_and_counts(df, id_col, text_col, width)
@@ -414,16 +436,20 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     # neighbours by size that share a good part of a prefix: nearly all of the links of near copies
     often = met.where("a is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least"))
     often = stored(often.where("16 * met >= least").select("a", "b"), "often")
-    arrays = corpus.arrays(often.select(F.col("a").alias("node")).unionByName(often.select(F.col("b").alias("node"))).distinct())
+    arrays = corpus.read(_ends(often), arrays=True)
     links = stored(_verify(often, arrays, threshold), "links")
     labels = stored(connected_components(links, "a", "b"), "labels")
 
     # every other pair that could link
-    tiles = _tiles(met.where("token is not null").select("token", "node", "n"), labels, block)
-    more = corpus.arrays(tiles.select("node").distinct()) if _any(tiles) else arrays.limit(0)
-    likely = _compare(tiles, more.select("node", "bits"), threshold, n_buckets)
-    pairs = stored(likely.where("a is not null").select("a", "b").distinct(), "pairs")
-    large = likely.where("token is not null").select("token", "lo", "hi", "unit", "node", "n", "label")
+    tiles = _tiles(met.where("token is not null").select("token", "node", "n"), labels, small_run, block)
+    bits = corpus.read(tiles.select("node").distinct(), arrays=False)
+    likely = _compare(tiles, bits.select("node", F.col("short").alias("bits")), threshold, n_buckets)
+    sizes = tiles.select("node", "n").distinct()
+    pairs = stored(_bounded(likely.where("a is not null").select("a", "b").distinct(), bits, sizes, threshold), "pairs")
+    columns = ["token", "lo", "hi", "unit", "node", "n", "label"]
+    large = likely.where("token is not null").select(*columns, F.lit(False).alias("small"))
+    large = _compare(large, bits.select("node", "bits"), threshold, n_buckets).where("token is not null").select(columns)
+    more = corpus.read(_ends(pairs).unionByName(large.select("node")).distinct(), arrays=True)
     last = _verify(pairs, more, threshold).unionByName(_within(large, more, threshold, n_buckets))
     every = connected_components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), "a", "b")
 
@@ -435,8 +461,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _any(df: DataFrame) -> bool:
-    return bool(df.take(1))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
