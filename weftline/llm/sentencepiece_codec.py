@@ -26,7 +26,7 @@ from .common import slices
 
 SPACE = "▁"
 #: Entries of each of the tables that a Python worker keeps; a full one starts anew.
-MOST_KEPT = 600_000
+MOST_KEPT = 250_000
 
 
 class Encoder:
