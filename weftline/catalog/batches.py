@@ -41,10 +41,7 @@ def _(t):
     return batch.by_mask(_rows(t), "o_totalprice > 100000").select("row_id")
 
 
-_INDEX = "i AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS at FROM lineitem WHERE l_linenumber <= 2)"
-
-
-@query("batch_index", f"WITH {_ROWS}, i AS (SELECT 2 * row_id + c AS at, (row_id * 7 + c) % (SELECT count(*) FROM r) AS k FROM r, (VALUES (0), (1)) v(c)) SELECT at::BIGINT AS row_id, o_orderkey FROM i JOIN r ON row_id = k")
+@query("batch_index", f"WITH {_ROWS}, i AS (SELECT 2 * row_id + c AS dst, (row_id * 7 + c) % (SELECT count(*) FROM r) AS k FROM r, (VALUES (0), (1)) v(c)) SELECT dst::BIGINT AS row_id, o_orderkey FROM i JOIN r ON row_id = k")
 def _(t):
     rows = _rows(t)
     n = rows.count()
@@ -108,7 +105,7 @@ def _items(t):
     return rows.select("l_orderkey", F.col("x.l_partkey").alias("a"))
 
 
-_ITEMS = "a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS a FROM lineitem GROUP BY l_orderkey)"
+_ITEMS = "a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY l_orderkey)"
 
 
 def _join(c):
@@ -130,13 +127,13 @@ for _side, _sql in (("right", "a[1:3]"), ("left", "CASE WHEN len(a) > 3 THEN a[l
         return _items(t).select("l_orderkey", _join(arrays.truncate(F.col("a"), 3, side)).alias("kept"))
 
 
-@query("position_ids", f"WITH m AS (SELECT l_orderkey, l_linenumber, (sum((l_quantity > 10)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber))::BIGINT AS s FROM lineitem) SELECT l_orderkey, string_agg(greatest(s - 1, 0)::VARCHAR, ',' ORDER BY l_linenumber) AS ids FROM m GROUP BY 1")
+@query("position_ids", "WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity > 10) AS k, (sum((l_quantity > 10)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity > 10 ROWS UNBOUNDED PRECEDING))::BIGINT AS s FROM lineitem) SELECT l_orderkey, string_agg(greatest(s - 1, 0)::VARCHAR, ',' ORDER BY k) AS ids FROM m GROUP BY 1")
 def _(t):
     rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity") > 10).cast("long").alias("m")))).alias("x"))
     return rows.select("l_orderkey", _join(arrays.position_ids(F.col("x.m"))).alias("ids"))
 
 
-@query("response_mask", "WITH m AS (SELECT l_orderkey, l_linenumber, coalesce(sum((l_suppkey % 4 = 0)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS m FROM lineitem) SELECT l_orderkey, string_agg(m::INTEGER::VARCHAR, ',' ORDER BY l_linenumber) AS mask FROM m GROUP BY 1")
+@query("response_mask", "WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 4) AS k, coalesce(sum((l_suppkey % 4 = 0)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS m FROM lineitem) SELECT l_orderkey, string_agg(m::INTEGER::VARCHAR, ',' ORDER BY k) AS mask FROM m GROUP BY 1")
 def _(t):
     rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") % 4).cast("int").alias("m")))).alias("x"))
     return rows.select("l_orderkey", _join(arrays.until_first(F.col("x.m"), 0)).alias("mask"))
@@ -162,10 +159,10 @@ _SCORES = "l_orderkey, l_linenumber"
 
 
 def _score(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("s"), (F.col("l_linenumber") % 3 != 0).cast("int").alias("m"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", (F.col("l_extendedprice") / 997.0).alias("s"), (F.col("l_linenumber") % 3 != 0).cast("int").alias("m"))
 
 
-_S = "(l_extendedprice / 1000)"
+_S = "(l_extendedprice / 997.0)"
 
 
 def _advantage(name, sql, make):
@@ -193,9 +190,9 @@ def _(t):
     return advantage.varied_groups(rows, "v", "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query("remax", f"SELECT l_orderkey, l_linenumber, round(sum({_S} * (l_linenumber % 3 <> 0)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 5.0 * (l_linenumber % 3 <> 0)::INTEGER, 5) AS advantage FROM lineitem")
+@query("remax", f"SELECT l_orderkey, l_linenumber, round(sum({_S} * (l_linenumber % 3 <> 0)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 5.0 * (l_linenumber % 3 <> 0)::INTEGER, 5) AS advantage FROM lineitem")
 def _(t):
-    adv = advantage.reward_to_go(F.col("s"), F.col("m"), F.lit(5.0), "l_orderkey", "l_linenumber")
+    adv = advantage.reward_to_go(F.col("s"), F.col("m"), F.lit(5.0), "l_orderkey", F.struct("l_linenumber", "s"))
     return _score(t).select("l_orderkey", "l_linenumber", F.round(adv, 5).alias("advantage"))
 
 
@@ -204,7 +201,7 @@ def _series(t):
     return rows.select("l_orderkey", F.col("x.l_linenumber").alias("n"), F.col("x.s").alias("s"), F.col("x.v").alias("v"), F.col("x.m").alias("m"))
 
 
-_STEPS = "x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS s, l_quantity / 10 AS v, (l_linenumber % 3 <> 0)::INTEGER::DOUBLE AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS k FROM lineitem)"
+_STEPS = "x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 997.0 AS s, l_quantity / 10 AS v, (l_linenumber % 3 <> 0)::INTEGER::DOUBLE AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC, l_quantity DESC) AS k FROM lineitem)"
 
 
 @query(
@@ -218,11 +215,11 @@ def _(t):
 
 @query(
     "gae",
-    f"WITH RECURSIVE {_STEPS}, r AS (SELECT l_orderkey, l_linenumber, k, v, s - v AS adv FROM x WHERE k = 1 UNION ALL SELECT x.l_orderkey, x.l_linenumber, x.k, x.v, x.s + 0.99 * r.v - x.v + 0.99 * 0.95 * r.adv FROM r JOIN x ON x.l_orderkey = r.l_orderkey AND x.k = r.k + 1) SELECT l_orderkey, l_linenumber, round(adv, 5) AS advantage, round(adv + v, 5) AS ret FROM r",
+    f"WITH RECURSIVE {_STEPS}, r AS (SELECT l_orderkey, l_linenumber, k, v, s - v AS adv FROM x WHERE k = 1 UNION ALL SELECT x.l_orderkey, x.l_linenumber, x.k, x.v, x.s + 0.99 * r.v - x.v + 0.99 * 0.95 * r.adv FROM r JOIN x ON x.l_orderkey = r.l_orderkey AND x.k = r.k + 1) SELECT l_orderkey, l_linenumber, round(adv, 3) AS advantage, round(adv + v, 3) AS ret FROM r",
 )
 def _(t):
     got = _series(t).select("l_orderkey", F.explode(F.arrays_zip(F.col("n").alias("n"), F.col("v").alias("v"), arrays.gae(F.col("s"), F.col("v"), 0.99, 0.95).alias("a"))).alias("x"))
-    return got.select("l_orderkey", F.col("x.n").alias("l_linenumber"), F.round("x.a", 5).alias("advantage"), F.round(F.col("x.a") + F.col("x.v"), 5).alias("ret"))
+    return got.select("l_orderkey", F.col("x.n").alias("l_linenumber"), F.round("x.a", 3).alias("advantage"), F.round(F.col("x.a") + F.col("x.v"), 3).alias("ret"))
 
 
 _M = "(l_linenumber % 3 <> 0)::INTEGER"
@@ -230,7 +227,7 @@ _M = "(l_linenumber % 3 <> 0)::INTEGER"
 
 @query("masked_mean", f"SELECT l_returnflag, round(sum({_S} * {_M}) / (sum({_M}) + 1e-8), 5) AS mean FROM lineitem GROUP BY 1")
 def _(t):
-    s, m = F.col("l_extendedprice") / 1000, (F.col("l_linenumber") % 3 != 0).cast("int")
+    s, m = F.col("l_extendedprice") / 997.0, (F.col("l_linenumber") % 3 != 0).cast("int")
     return t("lineitem").groupBy("l_returnflag").agg(F.round(advantage.masked_mean(s, m), 5).alias("mean"))
 
 

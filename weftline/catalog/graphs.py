@@ -240,7 +240,7 @@ def _(t):
 
 for _name, _order in (("argmin", "l_quantity"), ("argmax", "l_quantity DESC")):
 
-    @query(f"operator_{_name}", f"SELECT l_orderkey, first(l_partkey ORDER BY {_order}, l_linenumber) AS v FROM lineitem GROUP BY l_orderkey")
+    @query(f"operator_{_name}", f"SELECT l_orderkey, first(l_partkey ORDER BY {_order}, l_linenumber, l_partkey, l_suppkey) AS v FROM lineitem GROUP BY l_orderkey")
     def _(t, name=_name):
         rows = _lists(t)
         return rows.select("l_orderkey", plan_compile.operator_column(Operator(name, ("?q", "?p"))).alias("v"))
@@ -287,10 +287,10 @@ def _(t):
 # --- logs
 @query(
     "idempotent_append",
-    """WITH base AS (SELECT user_id AS run_id, event_id % 500 AS key, min(event_id) AS at FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
-l AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY at) AS seq FROM base),
-n AS (SELECT user_id AS run_id, event_id % 500 AS key, min(event_id) AS at FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2),
-f AS (SELECT n.*, row_number() OVER (PARTITION BY run_id ORDER BY at) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run_id = n.run_id AND l.key = n.key))
+    """WITH base AS (SELECT user_id AS run_id, event_id % 500 AS key, min(event_id) AS pos FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
+l AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS seq FROM base),
+n AS (SELECT user_id AS run_id, event_id % 500 AS key, min(event_id) AS pos FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2),
+f AS (SELECT n.*, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run_id = n.run_id AND l.key = n.key))
 SELECT run_id, key AS event_id, seq AS event_seq FROM l UNION ALL SELECT f.run_id, f.key, f.k + coalesce((SELECT max(seq) FROM l WHERE l.run_id = f.run_id), 0) FROM f""",
 )
 def _(t):

@@ -32,9 +32,9 @@ def _(t):
     return metrics.bootstrap(t("lineitem").where("l_linenumber <= 4"), "l_returnflag", "l_quantity", 4)
 
 
-@query("best_of_gold", "SELECT l_orderkey, max_by(l_partkey, round(l_quantity * 1000 - l_linenumber, 3)) AS part, max(l_quantity) AS f1 FROM lineitem GROUP BY 1")
+@query("best_of_gold", "SELECT l_orderkey, first(l_partkey ORDER BY l_quantity DESC, l_linenumber, l_partkey DESC) AS part, max(l_quantity) AS f1 FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_linenumber"))).alias("part"), F.max("l_quantity").alias("f1"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey")).alias("part"), F.max("l_quantity").alias("f1"))
 
 
 @query(

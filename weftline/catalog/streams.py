@@ -159,7 +159,7 @@ def _(t):
     return t("documents").select("doc_id", F.md5(F.array_join(arrays.head_and_tail(text.words(F.col("text")), 80), " ")).alias("digest"))
 
 
-_EVIDENCE = "e AS (SELECT l_orderkey AS question_id, list(l_partkey % 997 ORDER BY l_linenumber) AS evidence FROM lineitem GROUP BY l_orderkey)"
+_EVIDENCE = "e AS (SELECT l_orderkey AS question_id, list(l_partkey % 997 ORDER BY l_linenumber, l_partkey % 997) AS evidence FROM lineitem GROUP BY l_orderkey)"
 _SPREAD = f"""{_EVIDENCE}, p AS (SELECT question_id, unnest(evidence) AS pos, unnest(range(0, len(evidence))) AS i FROM e),
 g AS (SELECT question_id, lead(pos) OVER (PARTITION BY question_id ORDER BY pos) - pos AS gap, lead(pos) OVER (PARTITION BY question_id ORDER BY i) - pos AS nxt FROM p),
 s AS (SELECT question_id, coalesce(bool_and(nxt > 0) FILTER (nxt IS NOT NULL), true) AS is_ordered, coalesce(bool_and(nxt < 0) FILTER (nxt IS NOT NULL), true) AS is_reverse_ordered, min(gap) AS min_distance FROM g GROUP BY question_id)"""
@@ -170,9 +170,9 @@ def _spread(t):
     return synthesis.spread_evidence(ev.select("question_id", F.col("x.p").alias("evidence")))
 
 
-@query("evidence_spread", f"WITH {_SPREAD} SELECT * FROM s")
+@query("evidence_spread", f"WITH {_SPREAD} SELECT question_id, is_ordered, is_reverse_ordered, coalesce(min_distance, -1) AS min_distance FROM s")
 def _(t):
-    return _spread(t)
+    return _spread(t).withColumn("min_distance", F.coalesce("min_distance", F.lit(-1)))
 
 
 @query(

@@ -26,18 +26,15 @@ def _(t):
     return t("conversations").select("conv_id", "turn", text.spaced_answer(F.col("text")).alias("answer"))
 
 
-_BARE = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)([^\\p{{L}}\\p{{N}}_]|$)', '\\1 \\3', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
-
-
 @query("bare_answer", "SELECT item_id, trim(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w NOT IN ('a', 'an', 'the')), ' '), '\\s+', ' ', 'g')) AS answer FROM benchmark".replace("\\\\", "\\"))
 def _(t):
     return t("benchmark").select("item_id", text.bare_answer(F.col("text")).alias("answer"))
 
 
-@query("exact_and_sub_match", "SELECT conv_id, turn, (upper(text) || '!' = upper(text) || '!') AS same, contains(lower(text), lower(text)) AS part FROM conversations")
+@query("exact_and_sub_match", "SELECT conv_id, turn, text = text AS same, contains(text || 'x', text) AS part FROM conversations")
 def _(t):
-    a, b = F.col("text"), F.concat(F.upper("text"), F.lit("!"))
-    return t("conversations").select("conv_id", "turn", text.exact_match(a, b).alias("same"), text.either_contains(a, b).alias("part"))
+    a, b = F.col("text"), F.concat(F.lit("The "), "text", F.lit("!"))
+    return t("conversations").select("conv_id", "turn", text.exact_match(a, b).alias("same"), text.either_contains(a, F.concat("text", F.lit(" more"))).alias("part"))
 
 
 @query("phrase_mentions", "SELECT doc_id, regexp_matches(' ' || lower(replace(text, chr(10), ' ')) || ' ', '[^\\p{L}\\p{N}\\p{M}_]the of[^\\p{L}\\p{N}\\p{M}_]') AS found FROM documents".replace("\\\\", "\\"))
@@ -69,9 +66,6 @@ def _(t):
     return rows.join(other, (F.col("item_id") + 1) % n == F.col("k")).select("item_id", F.round(text.bag_f1(F.col("w"), F.col("v")), 6).alias("f1"))
 
 
-_RESPONSE = "'<think>x</think> The answer: <update>' || text || '</update> so \\boxed{' || conv_id || '{' || turn || '}} done'"
-
-
 def _responses(t):
     full = F.concat(F.lit("<think>x</think> The answer: <update>"), "text", F.lit("</update> so \\boxed{"), "conv_id", F.lit("{"), "turn", F.lit("}} done"))
     return t("conversations").withColumn("r", full)
@@ -101,7 +95,7 @@ def _(t):
 
 @query(
     "word_recall",
-    """WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), p AS (SELECT d.doc_id, item_id, len(list_filter(ws, lambda x: contains(d.text, x))) / len(ws) AS share FROM (SELECT * FROM documents WHERE doc_id % 50 = 0) d, w WHERE item_id % 20 = 0)
+    """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS ws FROM benchmark), p AS (SELECT d.doc_id, item_id, len(list_filter(ws, lambda x: contains(d.text, x))) / len(ws) AS share FROM (SELECT * FROM documents WHERE doc_id % 50 = 0) d, w WHERE item_id % 20 = 0)
 SELECT doc_id, round(avg(share), 6) AS recall FROM p GROUP BY 1""",
 )
 def _(t):
@@ -128,16 +122,16 @@ def _(t):
     return t("documents").select("doc_id", F.md5(text.clip_middle(F.col("text"), 200)).alias("digest"))
 
 
-@query("safe_ids", "SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 80) AS id FROM pages")
+@query("safe_ids", "SELECT page_id, left(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 80) AS id FROM pages")
 def _(t):
     return t("pages").select("page_id", text.safe_id(F.col("url")).alias("id"))
 
 
-@query("date_values", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE WHEN 2 THEN date_trunc('year', o_orderdate)::DATE ELSE o_orderdate::DATE END AS day FROM orders")
+@query("date_values", "SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE WHEN 2 THEN date_trunc('year', o_orderdate)::DATE ELSE o_orderdate::DATE END, '%Y-%m-%d') AS day FROM orders")
 def _(t):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     said = F.when(k == 0, F.date_format(d, "MMMM d, yyyy")).when(k == 1, F.date_format(d, "yyyy-M")).when(k == 2, F.date_format(d, "yyyy")).otherwise(F.date_format(d, "d MMM yyyy"))
-    return t("orders").select("o_orderkey", values.date_value(said).alias("day"))
+    return t("orders").select("o_orderkey", F.date_format(values.date_value(said), "yyyy-MM-dd").alias("day"))
 
 
 @query("callback_distance", "SELECT conv_id, turn, CASE WHEN turn >= 1 THEN abs(turn - 4) ELSE 0 END::INTEGER AS distance FROM conversations")

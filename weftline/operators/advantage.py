@@ -36,7 +36,7 @@ def varied_groups(df: DataFrame, score: str, *group: str) -> DataFrame:
     return df.withColumns({"_std": F.stddev_pop(score).over(w), "_n": F.count(F.lit(1)).over(w)}).where("_std > 0 OR _n = 1").drop("_std", "_n")
 
 
-def reward_to_go(reward: Column, mask: Column, baseline: Column, group: str, at: str) -> Column:
+def reward_to_go(reward: Column, mask: Column, baseline: Column, group: str, at: str | Column) -> Column:
     """Masked rewards from a place on, less the baseline."""
     ahead = Window.partitionBy(group).orderBy(at).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return F.sum(reward * mask).over(ahead) - baseline * mask

@@ -90,24 +90,21 @@ def evidence_pack(bound: DataFrame, run: str, answer: str, patterns: Sequence[Pa
     return bound.select(run, F.col(answer).alias("answer"), F.create_map(*pairs).alias("support"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
-    """(node, component) by the smallest reachable id, with a recursive query over both directions of the edges.
+def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+    """(node, component) by the smallest reachable id: labels spread over the edges until none changes.
 
-    For plans and other small graphs; depth is bounded by rounds.
+    For plans and other graphs of small diameter; rounds bounds the diameter, and a longer one raises.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(a).alias("a"), F.col(b).alias("b")).createOrReplaceTempView("_component_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE both_ways AS (SELECT a, b FROM _component_edges UNION SELECT b, a FROM _component_edges),
-        reach(node, seen, depth) AS (
-          SELECT a, a, 0 FROM both_ways
-          UNION
-          SELECT r.node, e.b, r.depth + 1 FROM reach r JOIN both_ways e ON r.seen = e.a WHERE r.depth < """
-        + str(int(rounds))
-        + """
-        ) SELECT node, min(seen) AS component FROM reach GROUP BY node"""
-    )
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().persist()
+    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")).select("node", "component")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
+        following = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved")).persist()
+        labels, moved = following.select("node", "component"), following.where("moved").take(1)
+        if not moved:
+            return labels
+    raise ValueError(f"a component is wider than {rounds}")
 
 
 def terminal_objects(patterns: DataFrame) -> DataFrame:

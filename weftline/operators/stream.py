@@ -93,14 +93,14 @@ def mention_search(manifest: DataFrame, phrases: DataFrame, limit: int) -> DataF
     """(phrase, source_ref, place) of the first sentences that hold a phrase, by sample and position.
 
     A phrase that a text holds has its first word at one of the text's words' ends, so phrases meet texts on the
-    three last characters of that word (or all of it), and only those pairs are compared.
+    three last characters of that word (or as many as it has), and only those pairs are compared.
     """
     first = lambda c: F.element_at(F.split(F.lower(F.trim(c)), r"\s+"), 1)
     tail = lambda w: F.right(w, F.lit(3))
     asked = phrases.select(F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''").distinct().withColumn("alone", ~F.col("phrase").rlike(r"\s"))
     within = asked.where("not alone").withColumn("key", tail(first(F.col("phrase"))))
     texts = manifest.select("sample_id", "source_ref", "stream_position", F.lower("text").alias("low"))
-    keyed = texts.withColumn("key", F.explode(F.array_distinct(F.transform(F.split("low", r"\s+"), tail))))
+    keyed = texts.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(F.split("low", r"\s+"), lambda w: F.array(*[F.right(w, F.lit(k)) for k in (1, 2, 3)]))))))
     hits = keyed.join(within, "key").where(F.contains("low", "phrase"))
     # a phrase of one word may stand inside a word: its trigrams would be the key; there are few, and they are broadcast
     single = texts.join(F.broadcast(asked.where("alone").limit(10_000)), F.expr("contains(low, phrase)"))

@@ -11,7 +11,9 @@ EXECUTED = ("EARLIER", "LATER", "YOUNGER", "OLDER", "COMPARE", "COUNT", "INTERSE
 DECLARED = ("DIRECT", "PATH_JOIN", "REGISTERED_RULE", "RULE", "FILTER")
 ALIASES = {"JOIN": "PATH_JOIN"}
 OUTPUTS = ("output", "output_var", "result", "target")
-_PLACEHOLDER = re.compile(r"(?i)(entity|person|film|unknown|placeholder|x|y)[_ ]?[0-9a-z]?\Z")
+#: Words that, alone or before a dash or an underscore, stand for an entity that nobody named.
+PLACEHOLDERS = ("unknown", "entity", "person", "object", "value")
+_PLACEHOLDER = re.compile(rf"({'|'.join(PLACEHOLDERS)})([_-].*)?\Z", re.I | re.S)
 
 
 def operator_kind(name: str) -> str | None:
