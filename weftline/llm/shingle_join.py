@@ -151,7 +151,7 @@ def _sets_and_counts(df: DataFrame, id_col: str, text_col: str, width: int) -> D
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
-    """How common each slot's shingles are: 0 for up to twice the mean, then one more for each doubling.  One byte a slot."""
+    """How common each slot's shingles are: 0 up to the mean, then eight more for each doubling.  One byte a slot."""
     parts = sets.where("slice is not null").select("slice", "task", "counts")
 
     def add(table: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
         counts[r["slice"]] = np.frombuffer(r["counts"], "<u8")
     flat = counts.ravel().astype(np.float64)
     mean = max(flat.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(flat / mean, 1))), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(8 * np.log2(np.maximum(flat / mean, 1))), 0, 255).astype(np.uint8)
 
 
 def prefixes(shingle: np.ndarray, bounds: np.ndarray, levels: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
