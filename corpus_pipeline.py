@@ -17,10 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a base rule nor a learned rule rejects."""
-    judged, _ = quality_rules.apply(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
-    return kept.select(*COLUMNS)
+    return quality_rules.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,20 @@ def test_quality_base(spark, odd, none):
     assert rules == [] and rows(got) == []
 
 
+def test_quality_keep_is_apply(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged, rules = quality_rules.apply(docs, labels)
+    assert quality_rules.rules_for(docs, labels) == rules
+    named = docs.withColumns({"row": docs.doc_id, "n_words": docs.n_chars})
+    kept = quality_rules.keep(named, labels)
+    assert kept.columns == named.columns and "Exchange" not in kept._jdf.queryExecution().toString()
+    assert rows(kept) == rows(named.join(judged.where("kept").select("doc_id"), "doc_id"))
+    few = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    for df in (odd, none, odd.unionByName(odd)):
+        want, _ = quality_rules.apply(df, few)
+        assert sorted(str(r.doc_id) for r in quality_rules.keep(df, few).collect()) == sorted(str(r.doc_id) for r in want.where("kept").collect())
+
+
 def test_quality_rules_hold_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

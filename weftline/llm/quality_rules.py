@@ -7,6 +7,7 @@ that it covers go, and the next rule is sought.  `verdict` is the list as one CA
 
 Defined results: null and empty texts have zero statistics and fail the base rules; without labels of both kinds the
 list is empty and only the base rules reject.  Rows stay as they are repeated; labels of one id count once each.
+`keep` gives the rows that `apply` keeps, with all their columns whatever their names, and shuffles no texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stored, text_bytes, window_hashes, word_hashes, word_spans
 
@@ -212,6 +214,38 @@ def apply(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return stats.select("*", base_failed().alias("base_failed"), verdict(rules).alias("kept")), rules
 
 
+def _measured_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """(row: every column, the five counts, the shares) of every row."""
+    names, at = [*BASE, *(f for f in FEATURES if f not in BASE)], df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(at)], names=["row", "text"]) for b in batches)
+        for batch in slices(both, "text"):
+            got = measure(*text_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[k]) for k in names)], names=["row", *names])
+
+    rows = df.select(F.struct("*").alias("row"))
+    kinds = [T.StructField(k, T.LongType() if k in BASE else T.DoubleType()) for k in names]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *kinds]))
+
+
+def rules_for(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED, **settings) -> list[Rule]:
+    """The rules that `apply` learns; measures the texts of at most `most` labelled ids, picked by a broadcast of those."""
+    known = labels.select(F.col(id_col), F.col(label_col)).where(F.col(label_col).isNotNull())
+    present = known.join(df.select(id_col).distinct(), id_col, "left_semi")
+    picked = present.orderBy(F.xxhash64(id_col), id_col).limit(most)
+    picked = stored(picked, "labelled")
+    texts = df.select(id_col, text_col).join(F.broadcast(picked.select(id_col).distinct()), id_col, "left_semi")
+    x, bad = labelled(statistics(texts, id_col, text_col), picked, id_col, label_col, most)
+    return learn(x, bad, **settings)
+
+
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of df that neither a base rule nor a learned one rejects, with all their columns."""
+    rules = rules_for(df, labels, id_col, text_col, **settings)
+    return _measured_rows(df, text_col).where(verdict(rules)).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got, _ = apply(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return got.select("doc_id", *BASE, "base_failed", "kept")
