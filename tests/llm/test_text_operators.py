@@ -172,7 +172,7 @@ def test_quality_base(spark, odd, none):
 def test_quality_keep_is_apply(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged, rules = quality_rules.apply(docs, labels)
-    assert quality_rules.rules_for(docs, labels) == rules
+    assert quality_rules.rules_for(docs, labels) == rules and rules
     named = docs.withColumns({"row": docs.doc_id, "n_words": docs.n_chars})
     kept = quality_rules.keep(named, labels)
     assert kept.columns == named.columns and "Exchange" not in kept._jdf.queryExecution().toString()

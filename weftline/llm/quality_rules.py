@@ -157,17 +157,24 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, steps: int = 64)
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.95, min_cover: int = 5, most_rules: int = 12, most_conditions: int = 4, seed: int = 7) -> list[Rule]:
-    """Ordered rules that reject.  x: feature -> values of labelled rows; bad: which of them to reject."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.95, min_cover: int = 5, most_rules: int = 12, most_conditions: int = 4, seed: int = 7, most_tries: int = 3) -> list[Rule]:
+    """Ordered rules that reject.  x: feature -> values of labelled rows; bad: which of them to reject.
+
+    Ends when that many splits in a row into rows to grow and rows to prune on give no rule that is precise on both.
+    """
     rules: list[Rule] = []
     if not len(bad):
         return rules
-    left, third = np.ones(len(bad), bool), np.random.default_rng(seed).integers(0, 3, len(bad)) == 0
-    while len(rules) < most_rules and (bad & left & ~third).sum() >= min_cover:
+    left, random, failed = np.ones(len(bad), bool), np.random.default_rng(seed), 0
+    while len(rules) < most_rules and failed < most_tries and (bad & left).sum() >= min_cover:
+        third = random.integers(0, 3, len(bad)) == 0
+        failed += 1
+        if not (bad & left & ~third).any():
+            continue
         grow, prune = left & ~third, left & third
         found = _grow({k: v[grow] for k, v in x.items()}, bad[grow], most_conditions)
         if not found:
-            break
+            continue
         held_out = {k: v[prune] for k, v in x.items()}
 
         def worth(conditions, data=held_out, is_bad=bad[prune]):
@@ -181,8 +188,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.95
         p, n = (held & prune & bad).sum(), (held & prune & ~bad).sum()
         all_p, all_n = (held & bad).sum(), (held & ~bad).sum()
         if not p or all_p < min_cover or p < min_precision * (p + n) or all_p < min_precision * (all_p + all_n):
-            break
+            continue
         rules.append(rule)
+        failed = 0
         left &= ~held
     return rules
 
