@@ -77,21 +77,21 @@ def _(t):
 @query(
     "neighbourhood_k1",
     f"""WITH {_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY doc_rank, sentence_id) - 1 AS p FROM refs)
-SELECT a.source_ref AS anchor, b.source_ref FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.document_id = b.document_id AND abs(a.p - b.p) <= 1 WHERE a.p % 10 = 0""",
+SELECT a.source_ref AS anchor, b.source_ref FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.document_id = b.document_id AND abs(a.p - b.p) <= 1""",
 )
 def _(t):
     m = manifest(t)
-    return stream.neighbourhood(m, m.where("stream_position % 10 = 0"), 1)
+    return stream.neighbourhood(m, m, 1)
 
 
 @query(
     "document_context",
     f"""WITH {_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY doc_rank, sentence_id) - 1 AS p FROM refs)
-SELECT a.source_ref AS anchor, b.source_ref FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.document_id = b.document_id WHERE a.p % 25 = 0""",
+SELECT a.source_ref AS anchor, b.source_ref FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.document_id = b.document_id WHERE a.sentence_id = 0""",
 )
 def _(t):
     m = manifest(t)
-    return stream.document_context(m, m.where("stream_position % 25 = 0"))
+    return stream.document_context(m, m.where("sentence_id = 0"))
 
 
 _PHRASES = "asked AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS phrase FROM benchmark)"
