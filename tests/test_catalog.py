@@ -60,3 +60,10 @@ def test_queries_without_sql(spark):
         assert r.is_ordered == (r.evidence == sorted(r.evidence)) and r.min_distance == abs(r.evidence[0] - r.evidence[1])
     for r in catalog.QUERIES["bootstrap"](spark, SF).collect():
         assert r.worst <= r.maj <= r.best
+
+
+def test_jaccard_searches_all_documents(spark, tmp_path):
+    docs = [(d, f"other words {d}") for d in (0, 5, 10)] + [(3, "the quick brown fox"), (7, "a lazy dog sleeps")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "quick brown fox"), (2, "lazy dog"), (3, "other words 5")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["jaccard_top1_all"](spark, str(tmp_path)).collect())) == [(1, 3, 0.75), (2, 7, 0.5), (3, 5, 1.0)]
