@@ -118,3 +118,12 @@ def test_spans_odd_tables(spark):
     assert rows(sentence_spans.remove_repeats(df).select("doc_id", "text")) == [(1, ""), (1, ""), (None, long)]
     assert rows(sentence_spans.remove_repeats(df.limit(0))) == []
     assert time.time() > 0
+
+
+def test_spans_keep_one_of_repeated_rows(spark):
+    long = " ".join(f"Again the words of number {k} are the same in both." for k in range(9))
+    other = " ".join(f"Here the passage of number {k} has words of its own." for k in range(9))
+    df = spark.createDataFrame([(1, long), (1, long), (1, long), (None, other), (None, other), (2, "Some head. " + other)], "doc_id long, text string")
+    for parts in (1, 6):
+        got = rows(sentence_spans.remove_repeats(df.repartition(parts)).select("doc_id", "text"))
+        assert got == sorted([(1, ""), (1, ""), (1, long), (2, "Some head. "), (None, ""), (None, other)], key=str)

@@ -3,14 +3,17 @@
 A sentence starts at a text's start, after a line break, after `.`, `!` or `?`, and at a capital, so that a passage
 put into the middle of a sentence begins one too.  From each sentence, and back from each sentence's end, the shortest
 run of at least `least_sentences` sentences and `least_words` words is hashed.  Of the places with one hash, the first
-by (id, place) stays; sentences within any later one go.
+by (id, row, place) stays; sentences within any later one go.
 
 Each batch of texts sends only the first place of each hash: its later ones are known to be repeats there and then.
 So however many rows share a passage, a batch sends it once.  Hashes are dealt into buckets, many a task, packed as
 bytes; a bucket finds the first place of each hash and gives back the others.
 
-Defined results: null texts stay null, texts without a repeat stay as they are; rows of one id are read as one
-document (equal ones get equal results, and a run only ever goes from a text that has it); null ids come first.
+Rows are stored under a number before they are read, so that rows of one id, equal ones too, are told apart and a
+retried task sees the same numbers.
+
+Defined results: null texts stay null, texts without a repeat stay as they are; rows of one id are documents of their
+own, one after the other, so that of equal rows one keeps its text; null ids come first.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_bytes, word_hashes, word_spans
+from .common import mix, slices, stored, text_bytes, word_hashes, word_spans
 
 NO_ID = -(1 << 63)
-_PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("end", "<i4")])
+_PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("end", "<i4")])
 _R = 0xD1342543DE82EF95
 _POW: list[np.ndarray] = []
 
@@ -93,24 +96,24 @@ def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
 
 def _first_of_each(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the first place of each hash, the others)."""
-    order = np.lexsort((places["end"], places["first"], places["doc"], places["hash"]))
+    order = np.lexsort((places["end"], places["first"], places["row"], places["doc"], places["hash"]))
     places = places[order]
     new = np.ones(len(places), bool)
     new[1:] = places["hash"][1:] != places["hash"][:-1]
     return places[new], places[~new]
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
-    """(id or NO_ID, places): the runs, as packed (hash, id, first, end), that repeat an earlier one, by document."""
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "_span_row", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
+    """(row, places): the runs, as packed (hash, id, row, first, end), that repeat an earlier one, by row; rows are numbered."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * n
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             run, doc, first, end, *_ = runs(*text_bytes(batch.column(1)), least_sentences, least_words)
             places = np.empty(len(run), _PLACE)
-            places["hash"], places["doc"], places["first"], places["end"] = run, ids[doc], first, end
+            places["hash"], places["doc"], places["row"], places["first"], places["end"] = run, ids[doc], numbers[doc], first, end
             unsure, sure = _first_of_each(places)
             out_bucket, out_data = [], []
             order = np.argsort(unsure["hash"] % np.uint64(buckets), kind="stable")
@@ -124,36 +127,34 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 out_data.append(sure.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_data, pa.binary())], names=["bucket", "data"])
 
-    def by_document(places: np.ndarray) -> pa.RecordBatch:
-        places = np.sort(places, order="doc")
-        groups = _groups(places["doc"])
-        return pa.RecordBatch.from_arrays([pa.array(places["doc"][[a for a, _ in groups]], pa.int64()), pa.array([places[a:b].tobytes() for a, b in groups], pa.binary())], names=["id", "places"])
+    def by_row(places: np.ndarray) -> pa.RecordBatch:
+        places = places[np.argsort(places["row"], kind="stable")]
+        groups = _groups(places["row"])
+        return pa.RecordBatch.from_arrays([pa.array(places["row"][[a for a, _ in groups]], pa.int64()), pa.array([places[a:b].tobytes() for a, b in groups], pa.binary())], names=["row", "places"])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield by_document(np.frombuffer(data, _PLACE))
+                yield by_row(np.frombuffer(data, _PLACE))
 
     def meet(table: pa.Table) -> pa.Table:
         places = np.frombuffer(b"".join(table.column("data").to_pylist()), _PLACE)
-        return pa.Table.from_batches([by_document(_first_of_each(places)[1])])
-
-    from .common import stored
+        return pa.Table.from_batches([by_row(_first_of_each(places)[1])])
 
-    cut = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    cut = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.col(row_col).alias("row"))
     dealt = stored(cut.mapInArrow(deal, "bucket int, data binary"), "runs")
-    shape = "id long, places binary"
+    shape = "row long, places binary"
     return dealt.where("bucket < 0").select("data").mapInArrow(known, shape).unionByName(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, shape))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
     """df with the repeated sentences gone from the text, and `removed`: their places (start, end) in code points."""
-    found = repeats(df, id_col, text_col, least_sentences, least_words)
-    spans = found.groupBy(F.col("id").alias("_span_id")).agg(F.collect_list("places").alias("_span_places"))
     rows = df.drop("removed")
-    own = rows.withColumn("_span_key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    own = stored(rows.withColumn("_span_row", F.monotonically_increasing_id()), "rows")
+    found = repeats(own, id_col, text_col, "_span_row", least_sentences, least_words)
+    spans = found.groupBy(F.col("row").alias("_span_row")).agg(F.collect_list("places").alias("_span_places"))
     # by far most documents have none: those that have are joined, and each text is moved once
-    both = own.join(spans, own["_span_key"] == spans["_span_id"], "left").drop("_span_key", "_span_id")
+    both = own.join(spans, "_span_row", "left").drop("_span_row")
     names, at = rows.columns, rows.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
