@@ -251,6 +251,10 @@ for _mode, _sql in (
         rows = _score(t).where("l_linenumber < 3")
         return advantage.aggregate_loss(rows, "l_orderkey", F.col("s"), F.col("m"), mode, 7).select(F.round("loss", 3 if mode.endswith("norm") else 4).alias("loss"))
 
+    @query("loss_" + _mode.replace("-", "_") + "_all", _sql.replace(" WHERE l_linenumber < 3", ""))
+    def _(t, mode=_mode):
+        return advantage.aggregate_loss(_score(t), "l_orderkey", F.col("s"), F.col("m"), mode, 7).select(F.round("loss", 3 if mode.endswith("norm") else 4).alias("loss"))
+
 
 _D = "(l_discount - l_tax)"
 for _kind, _sql in (("kl", _D), ("abs", f"abs({_D})"), ("mse", f"0.5 * {_D} * {_D}"), ("low_var_kl", f"least(greatest(exp(-{_D}) + {_D} - 1, -10), 10)")):

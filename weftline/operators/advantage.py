@@ -58,12 +58,15 @@ def whiten(df: DataFrame, value: str, mask: str, shift_mean: bool = True) -> Dat
 
 
 def aggregate_loss(df: DataFrame, row: str, loss: Column, mask: Column, mode: str, width: int | None = None) -> DataFrame:
-    """One row with `loss`: the mean over tokens, the mean over rows of a row's sum or mean, or the sum of all over width."""
+    """One row with `loss`: the mean over tokens, the mean over rows of a row's sum or mean, or the sum of all over width.
+
+    A row without a token in its mask has the mean NaN, and so has seq-mean-token-mean over it, as in the reference.
+    """
     if mode == "token-mean":
         return df.agg(masked_mean(loss, mask).alias("loss"))
     if mode == "seq-mean-token-sum-norm":
         return df.agg((F.sum(loss * mask) / F.lit(float(width or 1))).alias("loss"))
-    per = {"seq-mean-token-sum": F.sum(loss * mask), "seq-mean-token-mean": F.sum(loss * mask) / F.sum(mask)}
+    per = {"seq-mean-token-sum": F.sum(loss * mask), "seq-mean-token-mean": F.when(F.sum(mask) == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(loss * mask), F.sum(mask)))}
     if mode not in per:
         raise ValueError(f"unknown mode: {mode}")
     return df.groupBy(row).agg(per[mode].alias("l")).agg(F.avg("l").alias("loss"))
