@@ -4,8 +4,8 @@ One pass over the texts finds the base spans and the candidates: tokens that loo
 contexts that they stand in (the key before `=` or `:`, the token's prefix, its shape after a key).  What matches a
 seed is an entity from the start.  Spark then scores the graph of contexts and instances in turns: a context is worth
 the share of its instances that are known entities, times the logarithm of their number; an instance of a context
-above the thresholds becomes known, and counts for its other contexts.  Contexts that end above the thresholds mark
-all of their instances as `secret`.
+above the thresholds becomes known, and counts for its other contexts, until no context is added.  Contexts that end
+above the thresholds mark all of their instances as `secret`; a seed is one wherever it matches.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; base spans never change;
 a candidate that touches a base span is none.  Rows with the same id are separate rows.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import drop_stored, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,7 +95,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         contexts = [f"prefix {token[:4]} {kind} {len(token)}"]
         if key:
             contexts += [f"key {key[1].lower()}", f"assigned {kind}"]
-        out.append((start, end, token, any(s.fullmatch(token) for s in SEEDS), contexts))
+        out.append((start, end, token, bool(SEEDS[0].fullmatch(token) or key and SEEDS[1].fullmatch(token)), contexts))
     return out
 
 
@@ -121,27 +121,37 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "scan")
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, min_share: float = 0.3, min_known: int = 3) -> DataFrame:
-    """(context, share, known): the contexts that end above the thresholds.  Counts are of distinct instances."""
+def bootstrap(found: DataFrame, min_share: float = 0.3, min_known: int = 3) -> DataFrame:
+    """(context, share, known): the contexts that end above the thresholds.  Counts are of distinct instances.
+
+    Rounds go on until the contexts above the thresholds stay the same: as what is known only grows, so do they.
+    """
     edges = stored(
         found.select(F.explode("candidates").alias("c")).select("c.instance", "c.seed", F.explode("c.contexts").alias("context"))
         .groupBy("instance", "context").agg(F.max("seed").alias("known")), "contexts",
     )
     known = edges.where("known").select("instance").distinct()
-    for _ in range(rounds):
+    n_good, last = -1, None
+    while True:
         held = edges.join(known.withColumn("is_known", F.lit(True)), "instance", "left")
         scores = held.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("is_known").alias("known")).select("context", (F.col("known") / F.col("n")).alias("share"), "known")
         good = stored(scores.where((F.col("share") >= min_share) & (F.col("known") >= min_known)), "good")
+        n = good.count()
+        if last is not None:
+            drop_stored(last)
+        if n == n_good:
+            return good
+        n_good, last = n, good
         known = edges.join(good.select("context"), "context", "left_semi").select("instance").unionByName(edges.where("known").select("instance")).distinct()
-    return good
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(row_id, id, spans, n_base): all spans by kind and place; the first n_base kinds' spans are the base ones."""
     found = scan(df, id_col, text_col)
     good = bootstrap(found, **settings).select("context")
-    flat = found.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.start", "c.end", F.explode("c.contexts").alias("context"))
-    added = flat.join(good, "context", "left_semi").select("row_id", "start", "end").distinct()
+    each = found.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*")
+    flat = each.select("row_id", "start", "end", F.explode("contexts").alias("context"))
+    added = flat.join(good, "context", "left_semi").select("row_id", "start", "end").unionByName(each.where("seed").select("row_id", "start", "end")).distinct()
     by_row = added.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.lit("secret").alias("kind"), "start", "end"))).alias("added"))
     return found.join(by_row, "row_id", "left").select("row_id", F.col("id").alias(id_col), "base", F.concat("base", F.coalesce("added", F.expr("array()"))).alias("spans"))
 
