@@ -267,3 +267,15 @@ def test_bootstrapping_goes_on_to_its_end(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: len(r.spans) for r in personal_data.find(df, min_share=0.5).collect()}
     assert all(got[len(texts) - 3 + i] == 1 for i in range(3))
+
+
+def test_bootstrapping_takes_any_value_of_a_known_key(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3)]
+    texts = [f"phone: +1 555 123 456{k} now" for k in range(4)] + ["phone: 555 987 6543 now", "Phone=5559876", "nothing: +1 555 123 4569"]
+    texts += [f"password={h} end" for h in hexes] + ["password='hunter' end", "password: letmein.", "user=x&password=qwerty"]
+    clean = ["page: 12 of it", "note: hunter is a word", "nothing: 555", "phone numbers 5551234 are digits", "password:"]
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, r.doc_id < len(texts) and texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in personal_data.find(df).collect()}
+    assert [got[i] for i in (4, 5, 10, 11, 12)] == [[("secret", v)] for v in ("555 987 6543", "5559876", "hunter", "letmein", "qwerty")]
+    assert all(got[i] == [("phone", f"+1 555 123 456{i}")] for i in range(4))
+    assert all(not got[len(texts) + i] for i in range(len(clean)))

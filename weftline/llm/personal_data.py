@@ -1,8 +1,8 @@
 """Operator 10, personal data: base patterns, and identifiers that bootstrapped contexts give away.
 
 One pass over the texts finds the base spans and the candidates: tokens that look like identifiers, with the lexical
-contexts that they stand in (the key before `=` or `:`, the token's prefix, its shape after a key).  What matches a
-seed is an entity from the start.  Spark then scores the graph of contexts and instances in turns: a context is worth
+contexts that they stand in (the key before `=` or `:`, the token's prefix, its shape after a key), and all other values
+after a key.  What matches a seed is an entity from the start, and so is a base span after a key.  Spark then scores the graph of contexts and instances in turns: a context is worth
 the share of its instances that are known entities, times the logarithm of their number; an instance of a context
 above the thresholds becomes known, and counts for its other contexts, until no context is added.  Contexts that end
 above the thresholds mark all of their instances as `secret`; a seed is one wherever it matches.
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,8 @@ _LIKELY = re.compile(r"[0-9@]")
 #: An identifier-like token: letters and digits mixed, of 12 characters or more.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{12,}+")
 _KEY = re.compile(r"([A-Za-z][A-Za-z0-9_-]{0,30})[\x20\t]?[=:][\x20\t]?[\"']?\Z")
+#: Any value after a key: groups of digits, or what has no space, quote, bracket or delimiter.
+_VALUE = re.compile(r"[=:][\x20\t]?[\"']?([0-9]++(?:[\x20().-]{1,2}[0-9]++)*+(?![A-Za-z0-9_])|[^\s\"'<>,;()\[\]{}&=:]++)")
 #: Entities known from the start (fixed values, public formats): access key ids, and hexadecimal digests after a key.
 SEEDS = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-f]{40}"))
 
@@ -83,19 +87,44 @@ def shape(token: str) -> str:
     return "".join(k for k, p in kinds if re.search(p, token))
 
 
+def _key(text: str, start: int) -> str | None:
+    key = _KEY.search(text, max(0, start - 40), start)
+    return key[1].lower() if key else None
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, instance, is a seed, contexts) of the identifier-like tokens outside the base spans."""
+    """(start, end, instance, is a seed, contexts) of identifier-like tokens and of all values after a key, outside the base spans.
+
+    Base spans after a key are seeds of that key, without a place.  A value that isn't identifier-like is an instance
+    of its own key alone, so that common words carry nothing from key to key.
+    """
     out = []
-    for m in _TOKEN.finditer(text) if text and _LIKELY.search(text) else ():
+    if not text:
+        return out
+    for _, start, end in taken:
+        if key := _key(text, start):
+            out.append((-1, -1, text[start:end], True, [f"key {key}", f"value {key}"]))
+    busy = [(s, e) for _, s, e in taken]
+    for m in _TOKEN.finditer(text) if _LIKELY.search(text) else ():
         start, end, token = m.start(), m.end(), m[0]
         if any(s < end and start < e for _, s, e in taken):
             continue
-        key = _KEY.search(text, max(0, start - 40), start)
+        key = _key(text, start)
         kind = shape(token)
         contexts = [f"prefix {token[:4]} {kind} {len(token)}"]
         if key:
-            contexts += [f"key {key[1].lower()}", f"assigned {kind}"]
+            contexts += [f"key {key}", f"assigned {kind}", f"value {key}"]
         out.append((start, end, token, bool(SEEDS[0].fullmatch(token) or key and SEEDS[1].fullmatch(token)), contexts))
+        busy.append((start, end))
+    busy.sort()
+    starts, ends = [s for s, _ in busy], list(accumulate((e for _, e in busy), max))
+    for m in _VALUE.finditer(text):
+        start, value = m.start(1), m[1].rstrip(".!?")
+        before = bisect_left(starts, start + len(value))
+        if not any(c.isalnum() for c in value) or (before and ends[before - 1] > start):
+            continue
+        if key := _key(text, start):
+            out.append((start, start + len(value), f"{key}={value}", False, [f"value {key}"]))
     return out
 
 
@@ -149,7 +178,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settin
     """(row_id, id, spans, n_base): all spans by kind and place; the first n_base kinds' spans are the base ones."""
     found = scan(df, id_col, text_col)
     good = bootstrap(found, **settings).select("context")
-    each = found.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*")
+    each = found.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.*").where("start >= 0")
     flat = each.select("row_id", "start", "end", F.explode("contexts").alias("context"))
     added = flat.join(good, "context", "left_semi").select("row_id", "start", "end").unionByName(each.where("seed").select("row_id", "start", "end")).distinct()
     by_row = added.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.lit("secret").alias("kind"), "start", "end"))).alias("added"))
