@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from weftline import catalog
+from weftline.operators import stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,12 @@ def test_losses_and_resamples_cover_all_lines(spark, tmp_path):
     assert run("loss_seq_mean_token_mean_all").loss == (19 / 5 + 6) / 2
     assert run("loss_seq_mean_token_sum_norm_all").loss == round(31 / 7, 3)
     assert run("bootstrap").best > 50
+
+
+def test_mention_search_takes_any_number_of_words(spark):
+    n = 10_100
+    texts = [("s", f"r{i}", i, " ".join(f"Word{k}x" for k in range(i * 100, i * 100 + 100))) for i in range(n // 100)] + [("t", "q", 0, "the QUICK é𝄞ö fox"), ("t", "e", 1, ""), ("t", "o", 2, "a")]
+    manifest = spark.createDataFrame(texts, "sample_id string, source_ref string, stream_position int, text string")
+    phrases = [f"word{k}x" for k in range(n)] + ["uick", "é𝄞ö", "ö", "𝄞ö", "none", "fox"]
+    got = {r.phrase: r.source_ref for r in stream.mention_search(manifest, spark.createDataFrame([(p,) for p in phrases], "phrase string"), 1).collect()}
+    assert got == {f"word{k}x": f"r{k // 100}" for k in range(n)} | dict.fromkeys(["uick", "é𝄞ö", "ö", "𝄞ö"], "q") | {"fox": "q"}

@@ -93,7 +93,8 @@ def mention_search(manifest: DataFrame, phrases: DataFrame, limit: int) -> DataF
     """(phrase, source_ref, place) of the first sentences that hold a phrase, by sample and position.
 
     A phrase that a text holds has its first word at one of the text's words' ends, so phrases meet texts on the
-    three last characters of that word (or as many as it has), and only those pairs are compared.
+    three last characters of that word (or as many as it has), and only those pairs are compared.  Phrases of one word
+    meet texts on three characters anywhere; there may be any number of them.
     """
     first = lambda c: F.element_at(F.split(F.lower(F.trim(c)), r"\s+"), 1)
     tail = lambda w: F.right(w, F.lit(3))
@@ -102,8 +103,11 @@ def mention_search(manifest: DataFrame, phrases: DataFrame, limit: int) -> DataF
     texts = manifest.select("sample_id", "source_ref", "stream_position", F.lower("text").alias("low"))
     keyed = texts.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(F.split("low", r"\s+"), lambda w: F.array(*[F.right(w, F.lit(k)) for k in (1, 2, 3)]))))))
     hits = keyed.join(within, "key").where(F.contains("low", "phrase"))
-    # a phrase of one word may stand inside a word: its trigrams would be the key; there are few, and they are broadcast
-    single = texts.join(F.broadcast(asked.where("alone").limit(10_000)), F.expr("contains(low, phrase)"))
+    # a phrase of one word may stand inside a word: the key is its three first characters (or as many as it has)
+    alone = asked.where("alone").withColumn("key", F.substring("phrase", 1, 3))
+    grams = lambda k: F.when(F.length("low") >= k, F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.array_join(F.slice("chars", i, k), ""))).otherwise(F.expr("cast(array() as array<string>)"))
+    spelt = texts.withColumn("chars", F.split("low", "")).withColumn("key", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3))))).drop("chars")
+    single = spelt.join(alone, "key").where(F.contains("low", "phrase"))
     all_hits = hits.select("phrase", "sample_id", "source_ref", "stream_position").unionByName(single.select("phrase", "sample_id", "source_ref", "stream_position")).distinct()
     place = F.row_number().over(Window.partitionBy("phrase").orderBy("sample_id", "stream_position"))
     return all_hits.withColumn("place", place).where(F.col("place") <= limit).select("phrase", "source_ref", "place")
