@@ -21,14 +21,18 @@ own, and only the files that the committed manifest names count.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -39,8 +43,10 @@ from .common import shared_dir, slices, stored
 
 MAGIC = b"WBP1"
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker keeps; a full table starts anew.
-MOST_KEPT = 800_000
+#: Words whose ids a Python worker keeps, in each of two generations.
+MOST_KEPT = 700_000
+#: Ids that a reader hands on at once (one document at least).
+READ_IDS = 1 << 20
 
 
 # --- planes ------------------------------------------------------------------------------------
@@ -180,14 +186,20 @@ class Reader:
 
 # --- encoding ------------------------------------------------------------------------------------
 class WordEncoder:
-    """The tokenizer's own ids, kept by word where words can't touch each other.
+    """The tokenizer's own ids, kept by word.
 
-    The tokenizer cuts at white space and drops it, and its normaliser changes each character of the plain range
-    below by itself; so a text of such characters is its lower-cased words one by one.  Any other text, or one that
-    may hold a special token, goes to the library whole.
+    The tokenizer's normaliser, its cuts and its special tokens don't reach across ASCII white space, so a text's ids
+    are its words' ids one after another.  A word of the plain range below is lower-cased character by character, and
+    the tokenizer's own pattern cuts it into pieces, each of which is merged by itself; pieces that aren't known go to
+    the library's merging model in one string, where the ids that end a word part them again.  Any other word goes to
+    the whole tokenizer.  Words that a worker keeps are in two generations of at most `most_kept` each: a full one
+    takes the place of the older one, so frequent words stay.
+
+    A tokenizer file of another build (`by_word` is False) gets each text whole.
     """
 
     PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\xa1-įı-ž]*")
+    _SPACES = re.compile(r"[\t\n\r\x0b\x0c\x20]+")
 
     def __init__(self, path: str, most_kept: int = MOST_KEPT):
         from tokenizers import Tokenizer
@@ -195,34 +207,108 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most_kept = most_kept
         self.kept: dict[str, bytes] = {}
-        probe = ["Ab,c  d's\n9é", "ab,c d's 9é"]
-        first, second = (e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False))
-        self.by_word = first == second == [i for w in probe[1].split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
+        self.by_word = self._cut_by_word(plan)
+        if self.by_word:
+            pattern = plan["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            plain = [c for c in map(chr, range(0x180)) if self.PLAIN.fullmatch(c)]
+            for kind in ("\\p{L}", "\\p{N}"):  # the standard module doesn't know them, but is faster: list their plain characters
+                pattern = pattern.replace(kind, "".join(re.escape(c) for c in plain if regex.fullmatch(kind, c)))
+            self.pattern = re.compile(pattern)
+            bare = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            plan["normalizer"], plan["pre_tokenizer"]["pretokenizers"][0] = None, bare
+            self.model = Tokenizer.from_str(json.dumps(plan))
+            suffix, vocab = plan["model"]["end_of_word_suffix"], plan["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    @staticmethod
+    def _cut_by_word(plan: dict) -> bool:
+        """Whether the file is of the build that the class describes."""
+        normal = plan["normalizer"] or {}
+        first, *rest = (plan["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return (
+            [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+            and len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+            and plan["post_processor"] is None and bool(plan["model"]["end_of_word_suffix"]) and not plan["model"]["dropout"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "<|" not in t["content"] for t in plan["added_tokens"])
+        )
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, pieces: list[str]) -> None:
+        """Adds the ids of each piece to `pieces`."""
+        (got,) = self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(pieces) and len(ids) == ends[-1]:
+            data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.pieces.update(zip(pieces, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))  # noqa: B905
+        else:  # bytes that the vocabulary lacks
+            self.pieces.update(zip(pieces, self._whole(pieces), strict=True))
+
+    def _learn(self, words: set[str], odd: set[str]) -> None:
+        """Adds the ids of new words to `kept`; odd words aren't plain."""
+        if len(self.kept) + len(words) + len(odd) > self.most_kept:
+            self.older, self.kept, self.pieces = self.kept, {}, {}
+        kept, older = self.kept, self.older
+        if older:
+            known = words.intersection(older)
+            kept.update((w, older[w]) for w in known)
+            words = words - known
+        if odd:
+            kept.update(zip(odd, self._whole(list(odd)), strict=True))
+        cut = list(map(self.pattern.findall, words))
+        missing = set(chain.from_iterable(cut)).difference(self.pieces)
+        if missing:
+            self._merge(list(missing))
+        get = self.pieces.__getitem__
+        kept.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in cut], strict=True))
+
+    def _is_plain(self, text: str) -> bool:
+        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        kept = self.kept
-        out: list[bytes] = [b""] * len(texts)
-        words: dict[int, list[str]] = {}
-        whole = []
-        for i, text in enumerate(texts):
+        if not self.by_word:
+            return self._whole([t or "" for t in texts])
+        collects = gc.isenabled()
+        gc.disable()  # nothing made here is cyclic, and the lists of a batch's words are long to look through
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: Sequence[str | None]) -> list[bytes]:
+        get, found, holes = self.kept.get, [], []
+        plain: set[str] = set()
+        odd: set[str] = set()
+        for text in texts:
             if not text:
-                continue
-            if self.by_word and "<|" not in text and self.PLAIN.fullmatch(text):
-                words[i] = text.lower().split()
+                words = []
+            elif is_plain := self._is_plain(text):
+                words = text.lower().split()
             else:
-                whole.append(i)
-        new = {w for ws in words.values() for w in ws if w not in kept}
-        if len(kept) + len(new) > self.most_kept:
-            kept.clear()
-            new = {w for ws in words.values() for w in ws}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, "<u4").tobytes()
-        for i, ws in words.items():
-            out[i] = b"".join([kept[w] for w in ws])
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+                words = [w.lower() if self._is_plain(w) else w for w in self._SPACES.split(text) if w]
+            ids, at = list(map(get, words)), -1
+            found.append(ids)
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                word = words[at]
+                holes.append((ids, at, word))
+                (plain if is_plain or self._is_plain(word) else odd).add(word)
+        if holes:
+            self._learn(plain, odd)
+            kept = self.kept
+            for ids, at, word in holes:
+                ids[at] = kept[word]
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -285,8 +371,11 @@ def read_tokens(manifest: DataFrame, folder: str, id_col: str = "doc_id", digest
             for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with system.open_input_file(f"{base}/{file}") as source:
                     reader = Reader(source)
-                    for at in range(0, len(reader.docs), 1024):
-                        here = range(at, min(at + 1024, len(reader.docs)))
+                    at = 0
+                    while at < len(reader.docs):
+                        to = int(np.searchsorted(reader.starts, reader.starts[at] + READ_IDS, side="right")) - 1
+                        here = range(at, min(max(to, at + 1), at + 4096, len(reader.docs)))
+                        at = here.stop
                         ids = [reader.document(i) for i in here]
                         cols = [pa.array([reader.docs[i] for i in here], pa.int64()), pa.array(reader.starts[here.start : here.stop] + before), pa.array([len(i) for i in ids], pa.int64())]
                         if digest:
