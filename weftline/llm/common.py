@@ -97,8 +97,8 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 # --- word hashes -------------------------------------------------------------------------------
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _R = 0x9E3779B97F4A7C55 | 1
@@ -130,7 +130,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~_SPACE[raw]
+    word = ~SPACES[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[1:-1]

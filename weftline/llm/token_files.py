@@ -21,7 +21,6 @@ own, and only the files that the committed manifest names count.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import struct
@@ -39,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored
+from .common import SPACES, shared_dir, slices, stored, text_bytes, word_hashes, word_spans
 
 MAGIC = b"WBP1"
 BLOCK_IDS = 1 << 16
-#: Words whose ids a Python worker keeps, in each of two generations.
-MOST_KEPT = 700_000
+#: Words whose ids a Python worker keeps (about 90 MB); a full table starts anew.
+MOST_KEPT = 2_000_000
+#: Bytes of text that are encoded at once (up to the end of a word).
+SEGMENT = 4 << 20
 #: Ids that a reader hands on at once (one document at least).
 READ_IDS = 1 << 20
 
@@ -91,8 +92,12 @@ class Writer:
         sink.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.counts.append(len(ids))
+        self.add_all([doc_id], [len(ids)], ids)
+
+    def add_all(self, doc_ids: Sequence[int | None], counts: Sequence[int], ids: np.ndarray) -> None:
+        """Several documents' ids in a row."""
+        self.docs.extend(doc_ids)
+        self.counts.extend(int(n) for n in counts)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= self.block_ids:
@@ -185,30 +190,66 @@ class Reader:
 
 
 # --- encoding ------------------------------------------------------------------------------------
+class _Table:
+    """Ids of words by the words' hashes: open addressing in arrays, so that a batch's words are looked up together."""
+
+    def __init__(self, slots_log2: int):
+        self.shift, self.mask = np.uint64(64 - slots_log2), (1 << slots_log2) - 1
+        self.keys = np.zeros(1 << slots_log2, np.uint64)
+        self.start, self.count = np.zeros(1 << slots_log2, np.uint32), np.zeros(1 << slots_log2, np.uint32)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.n = self.n_ids = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash (none is 0), -1 for those that aren't here."""
+        out = np.full(len(h), -1, np.int64)
+        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = slot[hit]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New distinct hashes with the number of their ids and the ids in a row."""
+        need = self.n_ids + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), "<u4")])
+        self.ids[self.n_ids : need] = ids
+        first = self.n_ids + np.cumsum(counts) - counts
+        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            done = free & (self.keys[slot] == h[left])
+            self.start[slot[done]], self.count[slot[done]] = first[left[done]], counts[left[done]]
+            left, slot = left[~done], (slot[~done] + 1) & self.mask
+        self.n, self.n_ids = self.n + len(h), need
+
+
 class WordEncoder:
     """The tokenizer's own ids, kept by word.
 
     The tokenizer's normaliser, its cuts and its special tokens don't reach across ASCII white space, so a text's ids
-    are its words' ids one after another.  A word of the plain range below is lower-cased character by character, and
-    the tokenizer's own pattern cuts it into pieces, each of which is merged by itself; pieces that aren't known go to
-    the library's merging model in one string, where the ids that end a word part them again.  Any other word goes to
-    the whole tokenizer.  Words that a worker keeps are in two generations of at most `most_kept` each: a full one
-    takes the place of the older one, so frequent words stay.
+    are its words' ids one after another.  A new word of the plain range below is lower-cased character by character,
+    and the tokenizer's own pattern cuts it into pieces, each of which is merged by itself: they go to the library's
+    merging model in one string, where the ids that end a word part them again.  Any other word goes to the whole
+    tokenizer, and so does a text that may hold a special token.  Known words are found by 64-bit hashes (of 10^6
+    words, two are one with a probability of 3 in 10^8); a table of `most_kept` words starts anew.
 
     A tokenizer file of another build (`by_word` is False) gets each text whole.
     """
 
     PLAIN = re.compile("[\t\n\r\x0b\x0c\x20-\x7e\xa1-įı-ž]*")
-    _SPACES = re.compile(r"[\t\n\r\x0b\x0c\x20]+")
 
     def __init__(self, path: str, most_kept: int = MOST_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_kept = most_kept
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.slots_log2 = max(12, (2 * most_kept - 1).bit_length())
         with open(path, encoding="utf-8") as file:
             plan = json.load(file)
         self.by_word = self._cut_by_word(plan)
@@ -224,6 +265,7 @@ class WordEncoder:
             suffix, vocab = plan["model"]["end_of_word_suffix"], plan["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            self.table = _Table(self.slots_log2)
 
     @staticmethod
     def _cut_by_word(plan: dict) -> bool:
@@ -238,77 +280,84 @@ class WordEncoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "<|" not in t["content"] for t in plan["added_tokens"])
         )
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merge(self, pieces: list[str]) -> None:
-        """Adds the ids of each piece to `pieces`."""
+    def _plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each plain word, all ids)."""
+        cut = list(map(self.pattern.findall, words))
+        pieces = list(chain.from_iterable(cut))
+        if not pieces:
+            return np.zeros(len(words), np.int64), np.zeros(0, "<u4")
         (got,) = self.model.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(pieces) and len(ids) == ends[-1]:
-            data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.pieces.update(zip(pieces, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))  # noqa: B905
-        else:  # bytes that the vocabulary lacks
-            self.pieces.update(zip(pieces, self._whole(pieces), strict=True))
-
-    def _learn(self, words: set[str], odd: set[str]) -> None:
-        """Adds the ids of new words to `kept`; odd words aren't plain."""
-        if len(self.kept) + len(words) + len(odd) > self.most_kept:
-            self.older, self.kept, self.pieces = self.kept, {}, {}
-        kept, older = self.kept, self.older
-        if older:
-            known = words.intersection(older)
-            kept.update((w, older[w]) for w in known)
-            words = words - known
-        if odd:
-            kept.update(zip(odd, self._whole(list(odd)), strict=True))
-        cut = list(map(self.pattern.findall, words))
-        missing = set(chain.from_iterable(cut)).difference(self.pieces)
-        if missing:
-            self._merge(list(missing))
-        get = self.pieces.__getitem__
-        kept.update(zip(words, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in cut], strict=True))
-
-    def _is_plain(self, text: str) -> bool:
-        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
+        if len(ends) != len(pieces) or len(ids) != ends[-1]:  # bytes that the vocabulary lacks
+            each = self._whole(words)
+            return np.array([len(e) for e in each], np.int64), np.concatenate(each)
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return np.diff(np.concatenate([[0], ends])[last], prepend=0), ids
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        if not self.table.n:
+            self.table = _Table(max(self.slots_log2, (2 * len(h)).bit_length()))
+        plain = np.fromiter((self.PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        counts, ids = self._plain_words([w.lower() for w, p in zip(words, plain, strict=True) if p])
+        self.table.add(h[plain], counts, ids)
+        if not plain.all():
+            each = self._whole([w for w, p in zip(words, plain, strict=True) if not p])
+            self.table.add(h[~plain], np.array([len(e) for e in each], np.int64), np.concatenate(each))
+
+    def _segment(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids) of texts laid end to end."""
+        start, end, doc = word_spans(raw, offsets)
+        h = np.maximum(word_hashes(raw, start, end), np.uint64(1))
+        slot = self.table.find(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            if self.table.n and self.table.n + len(new) > self.most_kept:
+                self.table = _Table(self.slots_log2)  # starts anew, with all words of this segment
+                return self._segment(raw, offsets)
+            data, at = raw.tobytes(), missing[at]
+            self._learn(new, [data[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            slot[missing] = self.table.find(h[missing])
+        n = self.table.count[slot].astype(np.int64)
+        last = np.cumsum(n)
+        ids = self.table.ids[np.repeat(self.table.start[slot].astype(np.int64) - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        return np.bincount(doc, weights=n, minlength=len(offsets) - 1).astype(np.int64), ids
+
+    def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all texts' ids in a row); null is empty."""
+        raw, offsets = text_bytes(col)
+        if not self.by_word or raw.tobytes().find(b"<|") >= 0:
+            counts, parts = [], [np.zeros(0, "<u4")]
+            for i, text in enumerate(col.to_pylist()):
+                if text and (not self.by_word or "<|" in text):
+                    (ids,) = self._whole([text])
+                else:
+                    _, ids = self.encode_column(col.slice(i, 1)) if text else (None, parts[0])
+                counts.append(len(ids))
+                parts.append(ids)
+            return np.array(counts, np.int64), np.concatenate(parts)
+        total, parts, a = np.zeros(len(col), np.int64), [np.zeros(0, "<u4")], 0
+        while a < len(raw):  # a long text goes by in parts that end with a word
+            b = min(a + SEGMENT, len(raw))
+            while b < len(raw) and not SPACES[raw[b]]:
+                step = SPACES[raw[b : b + (1 << 16)]]
+                b += int(step.argmax()) if step.any() else len(step)
+            lo, hi = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b)
+            counts, ids = self._segment(raw[a:b], np.clip(offsets[lo : hi + 1], a, b) - a)
+            total[lo:hi] += counts
+            parts.append(ids)
+            a = b
+        return total, np.concatenate(parts)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        if not self.by_word:
-            return self._whole([t or "" for t in texts])
-        collects = gc.isenabled()
-        gc.disable()  # nothing made here is cyclic, and the lists of a batch's words are long to look through
-        try:
-            return self._by_word(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _by_word(self, texts: Sequence[str | None]) -> list[bytes]:
-        get, found, holes = self.kept.get, [], []
-        plain: set[str] = set()
-        odd: set[str] = set()
-        for text in texts:
-            if not text:
-                words = []
-            elif is_plain := self._is_plain(text):
-                words = text.lower().split()
-            else:
-                words = [w.lower() if self._is_plain(w) else w for w in self._SPACES.split(text) if w]
-            ids, at = list(map(get, words)), -1
-            found.append(ids)
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                word = words[at]
-                holes.append((ids, at, word))
-                (plain if is_plain or self._is_plain(word) else odd).add(word)
-        if holes:
-            self._learn(plain, odd)
-            kept = self.kept
-            for ids, at, word in holes:
-                ids[at] = kept[word]
-        return list(map(b"".join, found))
+        counts, ids = self.encode_column(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -340,7 +389,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        end, writer, sink = struct.pack("<I", end_id), None, None
+        writer = sink = None
         system, base = _open(folder)
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.wbp"
         for batch in slices(batches, "text"):
@@ -348,8 +397,8 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id
                 system.create_dir(base, recursive=True)
                 sink = system.open_output_stream(f"{base}/{name}")
                 writer = Writer(sink, block_ids, bits)
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(doc, np.frombuffer(ids + end, "<u4"))
+            counts, ids = encoder.encode_column(batch.column(1))
+            writer.add_all(batch.column(0).to_pylist(), counts + 1, np.insert(ids, np.cumsum(counts), end_id))
         if writer is not None:
             ids = writer.close()
             sink.close()
