@@ -170,6 +170,51 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+class WordTable:
+    """Ids of words by the words' hashes: open addressing in arrays, so that a batch's words are looked up together."""
+
+    def __init__(self, slots_log2: int):
+        self.shift, self.mask = np.uint64(64 - slots_log2), (1 << slots_log2) - 1
+        self.keys = np.zeros(1 << slots_log2, np.uint64)
+        self.start, self.count = np.zeros(1 << slots_log2, np.uint32), np.zeros(1 << slots_log2, np.uint32)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.n = self.n_ids = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash (none is 0), -1 for those that aren't here."""
+        out = np.full(len(h), -1, np.int64)
+        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = slot[hit]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New distinct hashes with the number of their ids and the ids in a row."""
+        need = self.n_ids + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), "<u4")])
+        self.ids[self.n_ids : need] = ids
+        first = self.n_ids + np.cumsum(counts) - counts
+        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            done = free & (self.keys[slot] == h[left])
+            self.start[slot[done]], self.count[slot[done]] = first[left[done]], counts[left[done]]
+            left, slot = left[~done], (slot[~done] + 1) & self.mask
+        self.n, self.n_ids = self.n + len(h), need
+
+    def ids_at(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids in each slot, all their ids in a row)."""
+        n = self.count[slot].astype(np.int64)
+        last = np.cumsum(n)
+        return n, self.ids[np.repeat(self.start[slot].astype(np.int64) - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+
+
 # --- connected components ----------------------------------------------------------------------
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the smallest id reachable.

@@ -7,32 +7,37 @@ field so that none is tried twice.  Pieces hold U+2581 only at their start, so t
 itself, and its result kept in a bounded table.
 
 Defined results: null and empty texts have no ids and decode to an empty text; characters without a piece become
-their UTF-8 bytes' pieces (or the unknown id where the model has none).  Repeated rows stay repeated.
+their UTF-8 bytes' pieces (or the unknown id where the model has none).  Repeated rows stay repeated, only the two columns
+named are read, and an empty table stays empty.  A long text goes by in parts; a long unit is cut where no piece reaches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WordTable, slices, text_bytes, word_hashes
 
 SPACE = "▁"
-#: Entries of each of the tables that a Python worker keeps; a full one starts anew.
-MOST_KEPT = 250_000
+_MARK = SPACE.encode()
+#: Entries of each of the dictionaries that a Python worker keeps, and units of its table (64 MB); a full one starts anew.
+MOST_KEPT, MOST_UNITS = 250_000, 2_000_000
+#: Bytes of text that are encoded at once (up to the end of a unit).
+SEGMENT = 2 << 20
 
 
 class Encoder:
     """Encodes as the model's library does, for merge models that add a leading space and change no characters."""
 
-    def __init__(self, path: str, most_kept: int = MOST_KEPT):
+    def __init__(self, path: str, most_kept: int = MOST_KEPT, most_units: int = MOST_UNITS):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.sp, self.most_kept = sp, most_kept
         if sp.normalize("  a  ") != SPACE * 3 + "a" + SPACE * 2:
@@ -44,10 +49,14 @@ class Encoder:
         self.id = {sp.id_to_piece(i): i for i in usual}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece goes across a space")
+        if any("\n" in p.strip("\n") or "\n" in p and p.strip("\n") for p in self.id):
+            raise ValueError("a piece goes across a line break")
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.chars = {c for p in self.id for c in p if c in self.id}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.most_units, self.slots_log2 = most_units, max(12, (2 * most_units - 1).bit_length())
+        self.table = WordTable(self.slots_log2)
         # pieces that merging never yields are no candidates
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
@@ -159,25 +168,60 @@ class Encoder:
             out += [self.id[p] for p in self.long_run(known)]
         return tuple(out)
 
+    def _segment(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each unit, all ids) of raw; first: where units begin."""
+        end = np.concatenate([first[1:], [len(raw)]])
+        h = np.maximum(word_hashes(raw, first, end, lower=False), np.uint64(1))
+        slot = self.table.find(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            if self.table.n and (self.table.n + len(new) > self.most_units or self.table.n_ids > 8 * self.most_units):
+                self.table = WordTable(self.slots_log2)  # starts anew, with all units of this segment
+                return self._segment(raw, first)
+            if 2 * len(new) > len(self.table.keys):
+                self.table = WordTable((2 * len(new)).bit_length())
+            data, at = raw.tobytes(), missing[at]
+            ids = [self.unit(data[a:b].decode().replace(" ", SPACE)) for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+            if len(self.kept) >= self.most_kept:
+                self.kept.clear()
+            self.table.add(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), "<u4"))
+            slot[missing] = self.table.find(h[missing])
+        return self.table.ids_at(slot)
+
+    def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all texts' ids in a row); null is empty."""
+        raw, offsets = text_bytes(col)
+        # the leading space of each text that isn't empty
+        sizes = np.diff(offsets)
+        raw = np.insert(raw, offsets[:-1][sizes > 0], 0x20)
+        offsets = np.concatenate([[0], np.cumsum(sizes + (sizes > 0))])
+        if raw.tobytes().find(_MARK) >= 0:  # U+2581 stands for a space
+            texts = [t and t.replace(SPACE, " ") for t in col.to_pylist()]
+            return self.encode_column(pa.array(texts, pa.string()))
+        # units: white space and what follows it up to the next, and runs of line breaks
+        kind = np.where(raw == 0x20, 1, np.where(raw == 0x0A, 2, 0)).astype(np.int8)
+        opens = np.zeros(len(raw), bool)
+        opens[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] > 0) | (kind[:-1] == 2))
+        opens[offsets[:-1][sizes > 0]] = True
+        first = np.flatnonzero(opens)
+        total, parts, a = np.zeros(len(col), np.int64), [np.zeros(0, "<u4")], 0
+        while a < len(first):
+            b = max(int(np.searchsorted(first, first[a] + SEGMENT)), a + 1)
+            stop = first[b] if b < len(first) else len(raw)
+            counts, ids = self._segment(raw[first[a] : stop], first[a:b] - first[a])
+            np.add.at(total, np.searchsorted(offsets, first[a:b], side="right") - 1, counts)
+            parts.append(ids)
+            a = b
+        return total, np.concatenate(parts)
+
+    def encode_all(self, col: pa.Array) -> list[list[int]]:
+        counts, ids = self.encode_column(col)
+        ends, ids = np.cumsum(counts).tolist(), ids.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        kept = self.kept
-        out: list[int] = []
-        if "  " in text or " \n" in text or text[0] == " " or SPACE in text:
-            words = re.findall(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+", SPACE + text.replace(" ", SPACE))
-        else:  # each word has one space before it, but for those at the start of a line
-            words = [w if w[:1] == "\n" else SPACE + w for w in text.replace("\n", " \n").split(" ")]
-        for word in words:
-            ids = kept.get(word)
-            if ids is None:
-                if len(kept) >= self.most_kept:
-                    kept.clear()
-                ids = self.unit(word)
-                if len(word) <= 64:
-                    kept[word] = ids
-            out.extend(ids)
-        return out
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -199,7 +243,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(model)
         for batch in slices(batches, text_col, 2 << 20):
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
+            ids = codec.encode_all(batch.column(1))
             cols = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             names = [id_col, "ids"]
             if round_trip:
@@ -232,8 +276,7 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
         names = [str(i) for i in range(codec.sp.get_piece_size())]
         for batch in slices(batches, text_col, 2 << 20):
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text)
+            for ids in codec.encode_all(batch.column(1)):
                 joined = ",".join([names[i] for i in ids])
                 rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, shared_dir, slices, stored, text_bytes, word_hashes, word_spans
+from .common import SPACES, WordTable, shared_dir, slices, stored, text_bytes, word_hashes, word_spans
 
 MAGIC = b"WBP1"
 BLOCK_IDS = 1 << 16
@@ -190,45 +190,6 @@ class Reader:
 
 
 # --- encoding ------------------------------------------------------------------------------------
-class _Table:
-    """Ids of words by the words' hashes: open addressing in arrays, so that a batch's words are looked up together."""
-
-    def __init__(self, slots_log2: int):
-        self.shift, self.mask = np.uint64(64 - slots_log2), (1 << slots_log2) - 1
-        self.keys = np.zeros(1 << slots_log2, np.uint64)
-        self.start, self.count = np.zeros(1 << slots_log2, np.uint32), np.zeros(1 << slots_log2, np.uint32)
-        self.ids = np.zeros(1 << 16, "<u4")
-        self.n = self.n_ids = 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash (none is 0), -1 for those that aren't here."""
-        out = np.full(len(h), -1, np.int64)
-        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
-        while len(left):
-            key = self.keys[slot]
-            hit = key == h[left]
-            out[left[hit]] = slot[hit]
-            on = ~hit & (key != 0)
-            left, slot = left[on], (slot[on] + 1) & self.mask
-        return out
-
-    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New distinct hashes with the number of their ids and the ids in a row."""
-        need = self.n_ids + len(ids)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), "<u4")])
-        self.ids[self.n_ids : need] = ids
-        first = self.n_ids + np.cumsum(counts) - counts
-        slot, left = (h >> self.shift).astype(np.int64), np.arange(len(h))
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]
-            done = free & (self.keys[slot] == h[left])
-            self.start[slot[done]], self.count[slot[done]] = first[left[done]], counts[left[done]]
-            left, slot = left[~done], (slot[~done] + 1) & self.mask
-        self.n, self.n_ids = self.n + len(h), need
-
-
 class WordEncoder:
     """The tokenizer's own ids, kept by word.
 
@@ -265,7 +226,7 @@ class WordEncoder:
             suffix, vocab = plan["model"]["end_of_word_suffix"], plan["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-            self.table = _Table(self.slots_log2)
+            self.table = WordTable(self.slots_log2)
 
     @staticmethod
     def _cut_by_word(plan: dict) -> bool:
@@ -300,7 +261,7 @@ class WordEncoder:
 
     def _learn(self, h: np.ndarray, words: list[str]) -> None:
         if not self.table.n:
-            self.table = _Table(max(self.slots_log2, (2 * len(h)).bit_length()))
+            self.table = WordTable(max(self.slots_log2, (2 * len(h)).bit_length()))
         plain = np.fromiter((self.PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
         counts, ids = self._plain_words([w.lower() for w, p in zip(words, plain, strict=True) if p])
         self.table.add(h[plain], counts, ids)
@@ -317,14 +278,12 @@ class WordEncoder:
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
             if self.table.n and self.table.n + len(new) > self.most_kept:
-                self.table = _Table(self.slots_log2)  # starts anew, with all words of this segment
+                self.table = WordTable(self.slots_log2)  # starts anew, with all words of this segment
                 return self._segment(raw, offsets)
             data, at = raw.tobytes(), missing[at]
             self._learn(new, [data[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             slot[missing] = self.table.find(h[missing])
-        n = self.table.count[slot].astype(np.int64)
-        last = np.cumsum(n)
-        ids = self.table.ids[np.repeat(self.table.start[slot].astype(np.int64) - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        n, ids = self.table.ids_at(slot)
         return np.bincount(doc, weights=n, minlength=len(offsets) - 1).astype(np.int64), ids
 
     def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
