@@ -1,5 +1,7 @@
 """Operators 3 and 7 against brute force and planted cases."""
 
+import os
+
 import numpy as np
 
 from weftline.llm import page_text, vector_links
@@ -13,14 +15,18 @@ def rows(df):
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li>a<li>b</ul></nav><!-- c --><div class='ad'>Buy</div><article><header><h1>Ti&eacute;tle &amp; more</h1></header><p>One <b>bold</b>\n  two<br>three<p>Four &lt;x&gt; 1 < 2<div class='share-buttons'>Share</div><ul><li>i</li><li>j</ul><form><input>no</form><section id=comments><p>Nice!</p></section></article><aside>side</aside><footer>&copy; x"
 
 
+def zone(page, *zones):
+    return [x for x, z in page_text.lines(page) if z in zones]
+
+
 def test_article_lines():
-    assert page_text.lines(PAGE) == (["Tiétle & more", "One bold two three", "Four <x> 1 < 2", "i", "j"], [], True)
+    assert zone(PAGE, page_text.INSIDE) == ["Tiétle & more", "One bold two three", "Four <x> 1 < 2", "i", "j"]
+    assert zone(PAGE, page_text.OUTSIDE) == [] and zone(PAGE, page_text.FURNITURE) == ["Site", "a", "b", "Buy", "Share", "no", "Nice!", "side", "© x"]
     for page in (None, "", "<", "<p", "&am", "<!--", "<script>", "</p></div>", "<nav>x", "<p>" * 3000, "<a " * 5000, '<a b="' * 5000):
-        inside, outside, article = page_text.lines(page)
-        assert not inside and not article and outside in ([], ["&am"], ["<"])
-    assert page_text.lines("<nav>menu<article><p>text</article>")[0] == ["text"]
+        assert zone(page, page_text.INSIDE) == [] and zone(page, page_text.OUTSIDE) in ([], ["&am"], ["<"])
+    assert zone("<nav>menu<article><p>text</article>", page_text.INSIDE) == ["text"]
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert page_text.lines(deep)[1] == ["x"]
+    assert zone(deep, page_text.OUTSIDE) == ["x"]
 
 
 def brute_lcs(a, b):
@@ -60,6 +66,73 @@ def test_differencing(spark):
     assert rows(page_text.extract(df.limit(0))) == []
 
 
+def brute_pages(pages):
+    """Whole pages by plain means: pages are (id, url, [(line, where it stands)])."""
+    def cut(url):
+        host, _, path = url.split("://")[1].partition("/")
+        return host, "/" + path
+
+    def start(a, b):
+        return len(os.path.commonprefix([a, b]))
+
+    def lcs(a, b):
+        if not a or not b:
+            return 0
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if n[i][j] == n[i - 1][j]:
+                i -= 1
+            elif n[i][j] == n[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(i)
+        return out
+
+    ordered, out = sorted((*cut(u), k, own) for k, u, own in pages), {}
+    for at, (host, path, k, own) in enumerate(ordered):
+        near = [ordered[i] for i in (at - 1, at + 1) if 0 <= i < len(ordered) and ordered[i][0] == host]
+        near.sort(key=lambda r: -start(path, r[1]))  # stable: the one before wins a tie
+        gone = lcs([x for x, _ in own], [x for x, _ in near[0][3]]) if near else set()
+        left = [(i, x) for i, (x, z) in enumerate(own) if z == page_text.OUTSIDE and i not in gone]
+        inside = [(i, x) for i, (x, z) in enumerate(own) if z == page_text.INSIDE]
+        teasers = sum(len(x) for _, x in left) > sum(len(x) for _, x in inside)
+        out[k] = "\n\n".join(x for _, x in (sorted(inside + left) if teasers else inside))
+    return out
+
+
+def test_whole_query_like_brute_force(spark, tmp_path):
+    """Pages with an article, with teasers in articles, and with neither; menus and footers with and without names."""
+    rng = np.random.default_rng(5)
+    pages, table = [], []
+    for k in range(160):
+        host = int(rng.integers(0, 7))
+        url = f"https://h{host}.org/{'ab'[rng.integers(0, 2)]}/{rng.integers(0, 40):02d}"
+        menu = [(f"Menu {host} {i}", page_text.OUTSIDE) for i in range(3)]
+        named = [(f"Nav {host} {i}", page_text.FURNITURE) for i in range(2)]
+        body = [f"Body {k} line {i} " + "word " * int(rng.integers(0, 9)) for i in range(4)] + [f"Quoted by many on {host}"]
+        foot = [(f"Seen {k} times", page_text.FURNITURE), (f"Made by {host}", page_text.OUTSIDE)]
+        kind = k % 3
+        main = [(x.strip(), page_text.INSIDE if kind == 0 else page_text.OUTSIDE) for x in body]
+        teaser = [(f"More {k}", page_text.INSIDE)] if kind == 1 else []
+        own = menu + named + main + teaser + foot
+        tag = {page_text.OUTSIDE: "div", page_text.INSIDE: "article", page_text.FURNITURE: "footer"}
+        html = "<body>" + "".join(f"<{tag[z]}>{x}</{tag[z]}>" for x, z in own) + "</body>"
+        assert page_text.lines(html) == own
+        pages.append((k, url, own))
+        table.append((k, url, html))
+    spark.createDataFrame(table, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in page_text.query(spark, str(tmp_path)).collect()}
+    want = brute_pages(pages)
+    assert got == want
+    alone = {k: "\n\n".join(own[i][0] for i in page_text.kept_lines([z for _, z in own], [len(x) for x, _ in own], ())) for k, _, own in pages}
+    assert sum(got[k] != alone[k] for k in got) > 60  # differencing decides
+
+
 # --- 7
 def brute_links(table, least=0.98):
     def fine(r):

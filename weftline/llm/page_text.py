@@ -1,14 +1,19 @@
 """Operator 3, HTML extraction: nearest-URL page differencing.
 
-Each page becomes text lines, one a block.  Elements whose markup names them as furniture (nav, footer, forms, adverts,
-comments, ...) are left out, as lines that differ on every page (a footer with a date, an advert) are no two pages'
-common lines.  Then pages are sorted by host and path, each is paired with that neighbour on its host whose path
-shares the longest start, their lines are aligned by longest common subsequence, and shared lines go.  Lines within
-<article> or <main> stay even so: articles of one host do share sentences; where a page has such an element, lines
-outside it aren't its main text, and the page isn't paired.
-
-Defined results: null and empty pages have an empty text; a page alone on its host, or without a url, keeps its lines;
-ties between neighbours go to the one before; repeated rows stay repeated.  Unclosed elements end with what holds them.
+Each page becomes text lines, one a block.  All pages are sorted by host and path, each is paired with that neighbour
+on its host whose path shares the longest start, their lines are aligned by longest common subsequence, and the lines
+that both have are deleted.  Markup corrects what differencing alone gets wrong:
+
+* Lines within <article> or <main> are protected: articles of one host do share sentences.
+* Lines of elements whose markup names them as furniture (nav, footer, forms, adverts, comments, ...) are aligned like
+  any others, and go even where no neighbour has them: an advert or a dated footer differs on every page.
+
+What then decides is how much text differencing leaves: where more is left outside <article> and <main> than stands
+within, such elements are teasers beside the text and all remaining lines are its main text, else those within are.
+
+Defined results: null and empty pages have an empty text; a page alone on its host, or without a url, shares no line;
+ties between neighbours go to the one before; repeated rows stay repeated (and as one row to their neighbours); only the
+three columns named are read.  Unclosed elements end with what holds them.
 """
 
 from __future__ import annotations
@@ -59,22 +64,27 @@ def _off(name: str, attrs: str, in_article: bool) -> bool:
     return any(_NAMED.search(found[k]) for k in ("class", "id") if found.get(k))
 
 
-def lines(page: str | None) -> tuple[list[str], list[str], bool]:
-    """(lines within article or main, lines outside them, whether the page has such an element)."""
-    inside: list[str] = []
-    outside: list[str] = []
+#: Where a line stands: within article or main, outside them, in an element that markup names as furniture.
+INSIDE, OUTSIDE, FURNITURE = 0, 1, 2
+
+
+def lines(page: str | None) -> list[tuple[str, int]]:
+    """(text, where it stands) of each line of a page."""
+    out: list[tuple[str, int]] = []
     if not page:
-        return inside, outside, False
+        return out
     stack: list[tuple[str, bool, bool]] = []  # name, off from here on, within an article from here on
-    off = article = seen = False
+    off = article = False
     parts: list[str] = []
+    off_parts: list[str] = []
 
     def flush() -> None:
-        if parts:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                (inside if article else outside).append(text)
+        for own, zone in ((parts, INSIDE if article else OUTSIDE), (off_parts, FURNITURE)):
+            if own:
+                text = _SPACE.sub(" ", html_lib.unescape("".join(own))).strip()
+                own.clear()
+                if text:
+                    out.append((text, zone))
 
     def close_to(depth: int) -> None:
         nonlocal off, article
@@ -88,8 +98,8 @@ def lines(page: str | None) -> tuple[list[str], list[str], bool]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not off:
-            parts.append(page[at:lt])
+        if lt > at:
+            (off_parts if off else parts).append(page[at:lt])
         if lt == n:
             break
         m = _TAG.match(page, lt)
@@ -97,8 +107,7 @@ def lines(page: str | None) -> tuple[list[str], list[str], bool]:
             follows = page[lt + 1 : lt + 2]
             if follows.isalpha() or follows in "/!?" and follows:
                 break  # a tag that the page's end cuts off
-            if not off:
-                parts.append("<")
+            (off_parts if off else parts).append("<")
             at = lt + 1
             continue
         if m["comment"] is not None:
@@ -136,18 +145,17 @@ def lines(page: str | None) -> tuple[list[str], list[str], bool]:
             if name == "li" and stack and stack[-1][0] == "li":
                 close_to(len(stack) - 1)
         if name in _VOID:
-            if name in ("br", "wbr", "img", "hr") and not off and name != "wbr":
-                parts.append(" ")
+            if name in ("br", "img", "hr"):
+                (off_parts if off else parts).append(" ")
             continue
         if attrs.rstrip().endswith("/") and name not in _BLOCK:
             continue
         here_off = off or _off(name, attrs, article)
         here_article = article or (name in ("article", "main") and not here_off)
-        seen |= here_article
         stack.append((name, here_off, here_article))
         off, article = here_off, here_article
     flush()
-    return inside, outside, seen
+    return out
 
 
 def common_lines(a: Sequence[str], b: Sequence[str]) -> set[int]:
@@ -200,17 +208,29 @@ def shared_lines(host: str, path: str, own: Sequence, before: tuple | None, afte
     return sorted(common_lines(own, best[2])) if best is not None else []
 
 
+def kept_lines(zones: Sequence[int], sizes: Sequence[int], shared: Sequence[int]) -> list[int]:
+    """Places of the main text's lines, from where lines stand, their lengths and which ones the nearest page shares."""
+    gone = set(shared)
+    outside = [i for i, z in enumerate(zones) if z == OUTSIDE and i not in gone]
+    inside = [i for i, z in enumerate(zones) if z == INSIDE]
+    if sum(sizes[i] for i in outside) > sum(sizes[i] for i in inside):
+        return sorted(inside + outside)
+    return inside
+
+
 def _line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 _KEY = ["k_id", "k_url", "k_html"]
+_KIND = "host string, path string, own array<long>, zones array<tinyint>, sizes array<int>"
 
 
 def differences(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(k_id, k_url, k_html, shared): places of the lines that a page without an article shares with its nearest page.
+    """(k_id, k_url, k_html, kept): places of the main text's lines of every page where differencing changes them.
 
-    Only such pages are sorted and paired, and only as hashes of their lines; equal rows are one.
+    Every page is sorted and paired, as hashes of its lines; equal rows are one.  What is kept without a neighbour
+    isn't sent again.
     """
     spark = df.sparkSession
     id_kind = df.schema[id_col].dataType.simpleString()
@@ -218,40 +238,47 @@ def differences(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             got = [lines(h) for h in batch.column(4).to_pylist()]
-            keep = [i for i, g in enumerate(got) if not g[2] and g[1]]
-            urls = batch.column(3).to_pylist()
-            where = [split_url(urls[i]) for i in keep]
-            cols = [batch.column(c).take(pa.array(keep, pa.int64())) for c in range(3)]
-            cols += [pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array([[_line_hash(x) for x in got[i][1]] for i in keep], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*_KEY, "host", "path", "own"])
+            where = [split_url(u) for u in batch.column(3).to_pylist()]
+            cols = [batch.column(c) for c in range(3)]
+            cols += [pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array([[_line_hash(x) for x, _ in g] for g in got], pa.list_(pa.int64()))]
+            cols += [pa.array([[z for _, z in g] for g in got], pa.list_(pa.int8())), pa.array([[len(x) for x, _ in g] for g in got], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*_KEY, "host", "path", "own", "zones", "sizes"])
 
     cut = df.select(F.col(id_col).alias("k_id"), F.xxhash64(url_col).alias("k_url"), F.xxhash64(html_col).alias("k_html"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = f"k_id {id_kind}, k_url long, k_html long, host string, path string, own array<long>"
-    pages = stored(stored(cut.mapInArrow(parse, kind), "lines").dropDuplicates(_KEY), "pages")
+    kind = f"k_id {id_kind}, k_url long, k_html long, {_KIND}"
+    pages = stored(cut.mapInArrow(parse, kind), "lines").where("size(own) > 0").dropDuplicates(_KEY)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one host's pages go to as many tasks as they fill: ranges are of host, path and id
-    order = ["host", "path", "k_id", "k_url", "k_html"]
-    ordered = pages.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = ["host", "path", *_KEY]
+    ordered = stored(pages, "pages").repartitionByRange(n, *order).sortWithinPartitions(*order)
     near_kind = "struct<host:string,path:string,own:array<long>>"
-    shape = f"{kind}, shared array<int>, part int, place int, last boolean, before {near_kind}, after {near_kind}"
+    shape = f"{kind}, kept array<int>, done boolean, part int, place int, last boolean, before {near_kind}, after {near_kind}"
     out_schema = to_arrow_schema(_parse_datatype_string(shape))
     near = lambda r: {k: r[k] for k in ("host", "path", "own")}
     sides = lambda r: r and (r["host"], r["path"], r["own"])
 
+    def changed(r: dict, before: dict | None, after: dict | None) -> list[int] | None:
+        """What is kept, where the nearest page makes a difference."""
+        shared = shared_lines(r["host"], r["path"], r["own"], sides(before), sides(after))
+        kept = kept_lines(r["zones"], r["sizes"], shared)
+        return kept if kept != kept_lines(r["zones"], r["sizes"], ()) else None
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with both neighbours in this task are done; the first and the last one go on to meet other tasks'."""
         part, rows, place = TaskContext.get().partitionId(), [], 0
         done: list[dict] = []
 
         def edge(r: dict, before: dict | None, after: dict | None) -> None:
-            done.append(r | {"part": part, "place": place, "before": before and near(before), "after": after and near(after), "last": after is None})
+            done.append(r | {"done": False, "part": part, "place": place, "before": before and near(before), "after": after and near(after), "last": after is None})
 
         for batch in batches:
             for r in batch.to_pylist():
                 rows.append(r)
                 if len(rows) == 3:
                     mid = rows[1]
-                    done.append({k: mid[k] for k in _KEY} | {"shared": shared_lines(mid["host"], mid["path"], mid["own"], sides(rows[0]), sides(rows[2]))})
+                    kept = changed(mid, rows[0], rows[2])
+                    if kept is not None:
+                        done.append({k: mid[k] for k in _KEY} | {"kept": kept, "done": True})
                     del rows[0]
                 elif len(rows) == 2:
                     edge(rows[0], None, rows[1])
@@ -267,38 +294,39 @@ def differences(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     # two rows a task at most: what is put in one place doesn't grow with the pages
     by_part = Window.orderBy("part", "place")
     me = F.struct("host", "path", "own")
-    edges = met.where("shared is null").select("*", F.lag(me).over(by_part).alias("prev"), F.lead(me).over(by_part).alias("next"))
+    edges = met.where("not done").select("*", F.lag(me).over(by_part).alias("prev"), F.lead(me).over(by_part).alias("next"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = []
+            kept = []
             for r in batch.to_pylist():
                 before = r["before"] or (r["prev"] if r["place"] == 0 else None)
                 after = r["after"] or (r["next"] if r["last"] else None)
-                shared.append(shared_lines(r["host"], r["path"], r["own"], sides(before), sides(after)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(shared, pa.list_(pa.int32()))], names=[*_KEY, "shared"])
+                kept.append(changed(r, before, after))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(kept, pa.list_(pa.int32()))], names=[*_KEY, "kept"])
 
-    rest = edges.mapInArrow(finish, f"k_id {id_kind}, k_url long, k_html long, shared array<int>")
-    return stored(met.where("shared is not null").select(*_KEY, "shared").unionByName(rest).where(F.size("shared") > 0), "shared")
+    rest = edges.mapInArrow(finish, f"k_id {id_kind}, k_url long, k_html long, kept array<int>")
+    return stored(met.where("done").select(*_KEY, "kept").unionByName(rest).where("kept is not null"), "kept")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     id_kind = df.schema[id_col].dataType.simpleString()
-    shared = differences(df, id_col, url_col, html_col)
+    kept = differences(df, id_col, url_col, html_col)
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(url_col).alias("h_url"), F.xxhash64(html_col).alias("h_html"))
-    both = pages.join(shared, pages["id"].eqNullSafe(shared["k_id"]) & (pages["h_url"] == shared["k_url"]) & (pages["h_html"] == shared["k_html"]), "left")
+    both = pages.join(kept, pages["id"].eqNullSafe(kept["k_id"]) & (pages["h_url"] == kept["k_url"]) & (pages["h_html"] == kept["k_html"]), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = []
-            for page, off in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                inside, outside, article = lines(page)
-                gone = set(off or ())
-                texts.append("\n\n".join(inside if article else [x for i, x in enumerate(outside) if i not in gone]))
+            for page, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                got = lines(page)
+                if places is None:
+                    places = kept_lines([z for _, z in got], [len(x) for x, _ in got], ())
+                texts.append("\n\n".join([got[i][0] for i in places]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = both.select("id", "url", "html", "shared").mapInArrow(write, f"id {id_kind}, url string, text string")
+    out = both.select("id", "url", "html", "kept").mapInArrow(write, f"id {id_kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 
