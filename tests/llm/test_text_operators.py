@@ -279,3 +279,69 @@ def test_bootstrapping_takes_any_value_of_a_known_key(spark):
     assert [got[i] for i in (4, 5, 10, 11, 12)] == [[("secret", v)] for v in ("555 987 6543", "5559876", "hunter", "letmein", "qwerty")]
     assert all(got[i] == [("phone", f"+1 555 123 456{i}")] for i in range(4))
     assert all(not got[len(texts) + i] for i in range(len(clean)))
+
+
+def test_bootstrapping_finds_identifiers_of_unseen_shapes(spark):
+    """Known cues give a shape away, the shape other cues, and those other shapes; numbers like none of them stay."""
+    number = lambda i: f"{100 + 7 * i}-{10 + i}-{1000 + 13 * i}"
+    staff = lambda i: f"EMP-{10000 + 37 * i}"
+    texts = [f"his SSN: {number(i)} on file" for i in range(4)]  # a known cue
+    texts += [f"taxpayer ref: {number(i)} as given" for i in range(10, 14)]  # an unseen cue, by the shape
+    texts += [f"and then {number(20 + i)} without a cue" for i in range(2)]  # the shape alone
+    texts += [f"employee id: {staff(i)} joined" for i in range(4)] + [f"badge {staff(9)} was found"]
+    texts += [f"Taxpayer ref: Q{i}77-{i}B4 of the other form" for i in range(2)]  # the learned cue, with a shape of its own
+    clean = [f"commit {hashlib.sha1(str(i).encode()).hexdigest()} of it" for i in range(8)]
+    clean += [f"sha1: {hashlib.sha1(str(i).encode()).hexdigest()} of it" for i in range(4)]
+    clean += [f"on 20{10 + i}-0{i + 1}-1{i} it was version 4.{i}.12 of build {1234567 + i}" for i in range(8)] + ["order no 7654321", "ISBN 978-3-16-148410-0"]
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] if r.doc_id < len(texts) else s for s in r.spans] for r in personal_data.find(df).collect()}
+    want = [number(i) for i in range(4)] + [number(i) for i in range(10, 14)] + [number(20), number(21)] + [staff(i) for i in range(4)] + [staff(9)] + ["Q077-0B4", "Q177-1B4"]
+    assert [got[i] for i in range(len(texts))] == [[w] for w in want]
+    assert not any(got[len(texts) + i] for i in range(len(clean)))
+
+
+def brute_found(texts, min_share=0.5, min_known=3):
+    """All spans of each text, by the definition of the graph, in plain loops."""
+    base = [personal_data.base_spans(t or "") for t in texts]
+    cands = [personal_data.candidates(t or "", b) for t, b in zip(texts, base, strict=True)]
+    edges, seeds = {}, set()
+    for found in cands:
+        for _, _, instance, seed, contexts in found:
+            for c in contexts:
+                edges.setdefault(c, set()).add(instance)
+            if seed:
+                seeds.add(instance)
+    known, good, before = set(seeds), set(), None
+    while good != before:
+        before = good
+        good = {c for c, own in edges.items() if len(own & known) >= min_known and len(own & known) >= min_share * len(own)}
+        known = seeds | {i for c in good for i in edges[c]}
+    return [b + sorted({("secret", s, e) for s, e, _, seed, c in found if s >= 0 and (seed or good & set(c))}) for b, found in zip(base, cands, strict=True)]
+
+
+def test_whole_query_like_brute_force(spark):
+    rng = np.random.default_rng(8)
+    keys, texts = ["token", "ref", "page", "user id", "note", "pin"], [None, ""]
+    for _ in range(400):
+        k, i = keys[rng.integers(0, len(keys))], int(rng.integers(0, 60))
+        value = [f"AB-{i:04d}", f"{i}77{i}", "word", f"x{i}y{i}z{i}", f"a{i}@b.co", "AKIA" + f"{i:016d}"][rng.integers(0, 6)]
+        texts.append(f"some {k}{[': ', '=', ' is ', ' '][rng.integers(0, 4)]}{value} text")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal_data.find(df).collect()}
+    want = brute_found(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    seeded = [personal_data.base_spans(t or "") for t in texts]
+    assert sum(len(w) for w in want) > sum(map(len, seeded)) + 100
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", 5, 6, 7)], "doc_id long, text string, _spans int, row int, _text_key int")
+    assert rows(personal_data.redact(df)) == [(1, "mail <EMAIL> now", 5, 6, 7)] and personal_data.redact(df).columns == df.columns
+
+
+def test_numbers_that_run_on(spark):
+    """A phone before another number: the base pattern takes both and drops them; the form of other phones gives it away."""
+    texts = [f"call +1 (555) 123-{1000 + i} now" for i in range(3)] + ["call +1 (555) 987-6543 2024.11.30 now", "sum +1 (55) 5 987 654321 77 88 99 00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in personal_data.find(df).collect()}
+    assert got[3] == ["+1 (555) 987-6543"] and got[4] == []

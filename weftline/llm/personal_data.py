@@ -1,14 +1,20 @@
 """Operator 10, personal data: base patterns, and identifiers that bootstrapped contexts give away.
 
-One pass over the texts finds the base spans and the candidates: tokens that look like identifiers, with the lexical
-contexts that they stand in (the key before `=` or `:`, the token's prefix, its shape after a key), and all other values
-after a key.  What matches a seed is an entity from the start, and so is a base span after a key.  Spark then scores the graph of contexts and instances in turns: a context is worth
-the share of its instances that are known entities, times the logarithm of their number; an instance of a context
-above the thresholds becomes known, and counts for its other contexts, until no context is added.  Contexts that end
-above the thresholds mark all of their instances as `secret`; a seed is one wherever it matches.
+One pass over the texts finds the base spans and the candidates: tokens with a digit, and any value after a key and `=`
+or `:`.  Each has lexical contexts: the cue before it (the one or two words before `=`, `:`, `#`, "is", "number", ...,
+with the kinds of characters that follow), its shape (runs of digits and letters with their lengths), its prefix, its
+kind after a key; a card or phone that runs on into other numbers, so that the base pattern drops it, has its form.
+Known from the start are base spans after a cue, tokens of seed formats, and values with a digit after
+a seed cue.
+
+Spark then scores the graph of contexts and instances in turns: a context is as good as the share of its distinct
+instances that are known, if enough are; an instance of a good context becomes known and counts for its other contexts,
+so that a cue leads to a shape, the shape to other cues, and those to other shapes, until no context is added.  Good
+contexts mark all of their instances as `secret`; a seed is one wherever it stands.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; base spans never change;
-a candidate that touches a base span is none.  Rows with the same id are separate rows.
+a candidate that touches a base span is none.  Rows with the same id are separate rows; an empty table stays empty.
+`redact` keeps all columns whatever their names; `find` reads the two columns named.
 """
 
 from __future__ import annotations
@@ -32,13 +38,24 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LIKELY = re.compile(r"[0-9@]")
-#: An identifier-like token: letters and digits mixed, of 12 characters or more.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{12,}+")
-_KEY = re.compile(r"([A-Za-z][A-Za-z0-9_-]{0,30})[\x20\t]?[=:][\x20\t]?[\"']?\Z")
+#: A token with a digit, of six characters or more.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{6,}+")
+_DIGITS = re.compile(r"[0-9]+")
+_NUMBER = re.compile(r"[0-9]+(?:[.,/][0-9]+)*")
+#: What stands before a value: one or two words, then a sign or a word that says what follows.
+_CUE = re.compile(
+    r"(?:(?<![A-Za-z0-9-])([A-Za-z][A-Za-z0-9-]{0,30})[\x20\t_]{1,2})?(?<![A-Za-z0-9-])([A-Za-z][A-Za-z0-9-]{0,30})(?:[\x20\t]?([=:#])|[\x20\t](?:is|was|no\.?|nr\.?|number|num|code)[\x20\t]?[=:#]?)[\x20\t]?[\"'(]?\Z"
+)
 #: Any value after a key: groups of digits, or what has no space, quote, bracket or delimiter.
 _VALUE = re.compile(r"[=:][\x20\t]?[\"']?([0-9]++(?:[\x20().-]{1,2}[0-9]++)*+(?![A-Za-z0-9_])|[^\s\"'<>,;()\[\]{}&=:]++)")
-#: Entities known from the start (fixed values, public formats): access key ids, and hexadecimal digests after a key.
+_LAST_WORD = re.compile(r"([A-Za-z][A-Za-z-]{1,30})[\x20\t]\Z")
+#: Seed formats (fixed values, public formats): access key ids; 40 hexadecimal digits after a key that names no digest.
 SEEDS = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-f]{40}"))
+DIGEST_CUES = frozenset("md5 sha sha1 sha256 hash digest checksum commit rev revision etag oid tree parent fingerprint".split())
+#: Seed cues (fixed values): words that name an identifier or a secret.
+SEED_CUES = frozenset("password passwd passphrase pwd secret token ssn passport iban apikey".split()) | {
+    "api key", "access key", "private key", "secret key", "social security", "employee id", "account number", "account no", "tax id", "national id", "licence number", "license number",
+}
 
 
 def luhn(digits: str) -> bool:
@@ -79,55 +96,124 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def shape(token: str) -> str:
+def kind_of(token: str) -> str:
     """Which classes of characters a token has."""
-    if re.fullmatch(r"[0-9a-f]+", token):
+    if re.fullmatch(r"[0-9a-f]+", token) and re.search("[a-f]", token):
         return "hex"
-    kinds = (("a", r"[a-z]"), ("A", r"[A-Z]"), ("9", r"[0-9]"), ("-", r"[_+/-]"))
+    kinds = (("a", r"[a-z]"), ("A", r"[A-Z]"), ("9", r"[0-9]"), ("-", r"[^A-Za-z0-9]"))
     return "".join(k for k, p in kinds if re.search(p, token))
 
 
-def _key(text: str, start: int) -> str | None:
-    key = _KEY.search(text, max(0, start - 40), start)
-    return key[1].lower() if key else None
+def shape(token: str) -> str | None:
+    """A token's form, None for what has none of its own."""
+    if len(token) > 24 or token.isdigit() or kind_of(token) in ("hex", "a9", "9"):
+        return None
+    return form(token)
+
+
+def form(text: str) -> str:
+    """Runs of digits, small and capital letters with their lengths; other characters as they are."""
+    return re.sub(r"[0-9]+|[a-z]+|[A-Z]+", lambda m: f"{'9' if m[0].isdigit() else 'a' if m[0].islower() else 'A'}{len(m[0])}", text)
+
+
+def run_on(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches within a dropped card or phone match (one that runs on into other numbers) that would pass by themselves."""
+    starts = {s for _, s, _ in taken}
+    for pattern, least, most in ((_PHONE, 8, 15), (_CARD, 16, 19)):
+        for m in pattern.finditer(text) if pattern is _CARD or "+" in text else ():
+            if m.start() in starts or m.end() - m.start() <= least:
+                continue
+            groups = [(g.start(), g.end()) for g in _DIGITS.finditer(text, m.start(), m.end())]
+            for i, (a, _) in enumerate(groups):
+                if i and pattern is _PHONE:
+                    break
+                digits = ""
+                for s, e in groups[i:]:
+                    digits += text[s:e]
+                    if len(digits) > most:
+                        break
+                    if len(digits) >= least and (pattern is _PHONE or luhn(digits)):
+                        yield (a if pattern is _CARD else m.start()), e
+
+
+def cues(text: str, start: int) -> tuple[list[str], bool]:
+    """(the cues before a place, the shorter one first; whether `=`, `:` or `#` follows them)."""
+    m = _CUE.search(text, max(0, start - 80), start)
+    if m is None:
+        return [], False
+    last = m[2].lower().replace("_", " ")
+    return [last, f"{m[1].lower()} {last}"] if m[1] else [last], m[3] is not None
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, instance, is a seed, contexts) of identifier-like tokens and of all values after a key, outside the base spans.
+    """(start, end, instance, is a seed, contexts) of tokens with a digit and of all values after a key, outside the base spans.
 
-    Base spans after a key are seeds of that key, without a place.  A value that isn't identifier-like is an instance
-    of its own key alone, so that common words carry nothing from key to key.
+    Base spans after a cue are seeds of that cue, without a place.  A value without a digit is an instance of its own
+    key alone, so that common words carry nothing from key to key.
     """
     out = []
     if not text:
         return out
-    for _, start, end in taken:
-        if key := _key(text, start):
-            out.append((-1, -1, text[start:end], True, [f"key {key}", f"value {key}"]))
-    busy = [(s, e) for _, s, e in taken]
+    for base, start, end in taken:
+        found, assigned = cues(text, start)
+        kind = kind_of(text[start:end])
+        contexts = [f"cue {c} {kind}" for c in found] + [f"value {c}" for c in found if assigned] + [f"{base} {form(text[start:end])}"] * (base in ("card", "phone"))
+        if contexts:
+            out.append((-1, -1, text[start:end], True, contexts))
+    busy = sorted((s, e) for _, s, e in taken)
+    free = _Free(busy)
+    for start, end in run_on(text, taken) if _LIKELY.search(text) else ():
+        if free(start, end):
+            kind = "phone" if text[start] == "+" else "card"
+            out.append((start, end, text[start:end], False, [f"{kind} {form(text[start:end])}"]))
+            busy.append((start, end))
+    free = _Free(sorted(busy))
     for m in _TOKEN.finditer(text) if _LIKELY.search(text) else ():
-        start, end, token = m.start(), m.end(), m[0]
-        if any(s < end and start < e for _, s, e in taken):
+        start, token = m.start(), m[0].rstrip("_+/-")
+        end = start + len(token)
+        if len(token) < 6 or not free(start, end):
             continue
-        key = _key(text, start)
-        kind = shape(token)
-        contexts = [f"prefix {token[:4]} {kind} {len(token)}"]
-        if key:
-            contexts += [f"key {key}", f"assigned {kind}", f"value {key}"]
-        out.append((start, end, token, bool(SEEDS[0].fullmatch(token) or key and SEEDS[1].fullmatch(token)), contexts))
-        busy.append((start, end))
-    busy.sort()
-    starts, ends = [s for s, _ in busy], list(accumulate((e for _, e in busy), max))
+        found, assigned = cues(text, start)
+        kind, runs = kind_of(token), shape(token)
+        contexts = [f"cue {c} {kind}" for c in found]
+        if assigned:
+            contexts += [f"value {c}" for c in found] + [f"assigned {kind}"]
+        if runs:
+            contexts.append(f"shape {runs}")
+        if len(token) >= 12 and kind not in ("9", "9-"):
+            contexts.append(f"prefix {token[:4]} {kind} {len(token)}")
+        word = _LAST_WORD.search(text, max(0, start - 32), start)
+        seed = SEEDS[0].fullmatch(token) is not None or not SEED_CUES.isdisjoint(found) or word is not None and word[1].lower() in SEED_CUES
+        seed |= assigned and SEEDS[1].fullmatch(token) is not None and DIGEST_CUES.isdisjoint(found)
+        if contexts or seed:
+            out.append((start, end, token, seed, contexts))
+            busy.append((start, end))
+    free = _Free(sorted(busy))
     for m in _VALUE.finditer(text):
         start, value = m.start(1), m[1].rstrip(".!?")
-        before = bisect_left(starts, start + len(value))
-        if not any(c.isalnum() for c in value) or (before and ends[before - 1] > start):
+        if not any(c.isalnum() for c in value) or not free(start, start + len(value)):
             continue
-        if key := _key(text, start):
-            out.append((start, start + len(value), f"{key}={value}", False, [f"value {key}"]))
+        found, assigned = cues(text, start)
+        if assigned:
+            digit = any(c.isdigit() for c in value)
+            kind = kind_of(value)
+            contexts = [f"value {c}" for c in found] + [f"cue {c} {kind}" for c in found if digit]
+            seed = digit and not SEED_CUES.isdisjoint(found) and not (_NUMBER.fullmatch(value) and len(value) < 6)
+            out.append((start, start + len(value), f"{found[-1]}={value}", seed, contexts))
     return out
 
 
+class _Free:
+    """Whether a stretch touches none of some sorted stretches."""
+
+    def __init__(self, taken: list[tuple[int, int]]):
+        self.starts, self.ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return not before or self.ends[before - 1] <= start
+
+
 FOUND = "row_id long, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<start:int,end:int,instance:long,seed:boolean,contexts:array<string>>>"
 
 
@@ -150,7 +236,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "scan")
 
 
-def bootstrap(found: DataFrame, min_share: float = 0.3, min_known: int = 3) -> DataFrame:
+def bootstrap(found: DataFrame, min_share: float = 0.5, min_known: int = 3) -> DataFrame:
     """(context, share, known): the contexts that end above the thresholds.  Counts are of distinct instances.
 
     Rounds go on until the contexts above the thresholds stay the same: as what is known only grows, so do they.
@@ -190,11 +276,13 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sett
 
     Rows of one id whose texts differ would share spans, so texts are matched by id and hash.
     """
-    own = df.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    keyed = df.select(F.struct(F.col(id_col).alias("a"), F.xxhash64(F.col(text_col)).alias("b")).alias("key"), F.col(text_col).alias("text"))
+    names = df.columns
+    own = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    row_id, row_text = f"row.c{names.index(id_col)}", f"row.c{names.index(text_col)}"
+    keyed = own.select(F.struct(F.col(row_id).alias("a"), F.xxhash64(row_text).alias("b")).alias("key"), F.col(row_text).alias("text"))
     got = find(keyed, "key", "text", **settings).where(F.size("spans") > 0)
-    spans = got.groupBy(F.col("key.a").alias("_span_id"), F.col("key.b").alias("_span_key")).agg(F.first("spans").alias("_spans"))
-    both = own.join(spans, own[id_col].eqNullSafe(spans["_span_id"]) & (own["_text_key"] == spans["_span_key"]), "left")
+    spans = got.groupBy(F.col("key.a").alias("span_id"), F.col("key.b").alias("span_key")).agg(F.first("spans").alias("spans"))
+    both = own.join(spans, F.col(row_id).eqNullSafe(F.col("span_id")) & (F.xxhash64(row_text) == F.col("span_key")), "left")
 
     @F.pandas_udf("string")
     def cover(texts, all_spans):
@@ -212,7 +300,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sett
 
         return pd.Series(out, dtype=object)
 
-    return both.select(*[F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cover(F.col(text_col), "_spans")).alias(c) if c == text_col else df[c] for c in df.columns])
+    text = F.when(F.col("spans").isNull(), F.col(row_text)).otherwise(cover(F.col(row_text), "spans"))
+    return both.select(*[(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
