@@ -103,3 +103,21 @@ def test_components_of_links(spark):
         for a, b in links:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == {n: parent[n] for n in got} and set(got) == {n for a, b in links if a != b for n in (a, b)}
+
+
+def test_lower_thresholds_in_large_runs(spark):
+    """Sets of one shared passage and unlike sizes: all links at a threshold of 50, whose bands are wider."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    core = [word() for _ in range(100)]
+    texts = [" ".join(core[: 60 + 2 * k] + [word() for _ in range(int(rng.integers(0, 70)))]) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    part = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 50 * len(a | b):
+                    part[i] = part[j] = min(part[i], part[j])
+    got = {r.doc_id: r.component_id for r in shingle_join.components(df, threshold=50, small_run=2, block=4).collect()}
+    assert [got[i] for i in range(len(texts))] == part

@@ -127,3 +127,12 @@ def test_spans_keep_one_of_repeated_rows(spark):
     for parts in (1, 6):
         got = rows(sentence_spans.remove_repeats(df.repartition(parts)).select("doc_id", "text"))
         assert got == sorted([(1, ""), (1, ""), (1, long), (2, "Some head. "), (None, ""), (None, other)], key=str)
+
+
+def test_columns_of_any_name(spark):
+    text = "One of the sentences here. Another of the sentences is this one here. And a third one that makes it long enough by far, it is. "
+    df = spark.createDataFrame([(1, text, 3, 4, 5, "s"), (2, "x. " + text, 3, 4, 5, "s")], "doc_id long, text string, row int, _span_row int, places int, source string")
+    got = sentence_spans.remove_repeats(df)
+    assert got.columns == [*df.columns, "removed"] and {r.doc_id: r.text for r in got.collect()} == {1: text, 2: "x. "}
+    mixed = df.selectExpr("doc_id", "text", "source", "1 as mix_u", "2 as mix_source", "3 as mix_cdf", "4 as _mix_u")
+    assert source_mixing.replicate(mixed, {"s": 1.0}, total=200).select("mix_u", "mix_source", "mix_cdf", "_mix_u").distinct().collect() == [(1, 2, 3, 4)]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -48,7 +49,7 @@ def test_url_filter(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'clash' as host")
     want = sorted(((i, *best_rule(u)) for i, u in enumerate(urls)), key=str)
     assert rows(url_filter.filter_urls(df)) == want
-    assert rows(url_filter.filter_urls(df.drop("host"), most_trie_bytes=0)) == want
+    assert rows(url_filter.filter_urls(df.drop("host"), most_trie_nodes=0)) == want
     assert rows(url_filter.filter_urls(df.limit(0))) == []
 
 
@@ -345,3 +346,38 @@ def test_numbers_that_run_on(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in personal_data.find(df).collect()}
     assert got[3] == ["+1 (555) 987-6543"] and got[4] == []
+
+
+def test_trie_of_many_parts_of_one_host():
+    many = [("block", f"a.org/p{i}") for i in range(2000)] + [("allow", "a.org/p1/x"), ("block", "org/")]
+    trie = url_filter.Trie(many)
+    assert trie.longest("www.a.org", "/p1234567/y") == ("block", "a.org/p1234") and trie.longest("a.org", "/p1/xy") == ("allow", "a.org/p1/x")
+    assert trie.longest("a.org", "/q") == ("block", "org/") and trie.longest("a.com", "/p1") is None
+
+
+def test_labelled_rows_sent_do_not_grow(spark):
+    """The rows that are sorted for the driver are about as many for any number of rows and of tasks."""
+    for n, parts in ((5_000, 2), (200_000, 64)):
+        rows_ = spark.range(n, numPartitions=parts).selectExpr("xxhash64(id) as h", "id")
+        cut = quality_rules.lowest(rows_, "h", 1000)
+        assert 1000 <= cut.count() <= 1500
+        assert [r.id for r in cut.orderBy("h").limit(1000).collect()] == [r.id for r in rows_.orderBy("h").limit(1000).collect()]
+    assert quality_rules.lowest(spark.range(9).selectExpr("xxhash64(id) as h"), "h", 1000).count() == 9
+
+
+def test_quality_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a word " * 60, 5, 6)], "doc_id long, text string, n_words int, kept int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_rules.keep(df, labels).columns == df.columns and quality_rules.apply(df, labels)[0].count() == 1
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes, without and with spaces: the parts it is encoded in don't show."""
+    long = "Ab,c d\u00e9f " * 400_000
+    own = token_files.WordEncoder(TOKENIZER)
+    counts, ids = own.encode_column(pa.array(["x", long, None, "y" * 5000 + " z"]))
+    unit = own.tokenizer.encode("Ab,c d\u00e9f", add_special_tokens=False).ids
+    assert counts[1] == 400_000 * len(unit) and ids[1 : 1 + 3 * len(unit)].tolist() == unit * 3 and counts[2] == 0
+    codec = sentencepiece_codec.Encoder(MODEL)
+    text = "word\n\nand  more " * 300_000 + "q" * 3000
+    assert codec.encode_column(pa.array([text]))[1].tolist() == codec.sp.encode(text)

@@ -17,12 +17,14 @@ _MASK = (1 << 64) - 1
 
 # --- materialised tables ---------------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir; one of our own only where that is unset on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jvm_dir.get() if jvm_dir.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         where = f"/tmp/checkpoints/weftline-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -54,6 +56,28 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored() table's files."""
+    spark = df.sparkSession
+    total = 0
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        total += target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return total
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores after them until none is among those taken (which are compared without case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a stored() table that nothing reads any more."""
     spark = df.sparkSession

@@ -7,7 +7,10 @@ that it covers go, and the next rule is sought.  `verdict` is the list as one CA
 
 Defined results: null and empty texts have zero statistics and fail the base rules; without labels of both kinds the
 list is empty and only the base rules reject.  Rows stay as they are repeated; labels of one id count once each.
-`keep` gives the rows that `apply` keeps, with all their columns whatever their names, and shuffles no texts.
+`keep` gives the rows that `apply` keeps, with all their columns whatever their names, and shuffles no texts; an empty
+table stays empty.  `statistics` reads the two columns named; an id column must not be named like a statistic.
+Labelled rows beyond `most` are cut by a hash threshold before they are sorted, so that the driver and the last task are
+sent about as many however large the table is.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_bytes, window_hashes, word_hashes, word_spans
+from .common import fresh, slices, stored, text_bytes, window_hashes, word_hashes, word_spans
 
 #: The most labelled rows that rules are learned from (those of the lowest hash of the id).
 MOST_LABELLED = 20_000
@@ -98,6 +101,8 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the five counts, the shares) of every row."""
     names = [*BASE, *(f for f in FEATURES if f not in BASE)]
+    if id_col in names:
+        raise ValueError(f"an id column named like the statistic {id_col}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
@@ -207,10 +212,23 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(True)
 
 
+def lowest(rows: DataFrame, hash_col: str, most: int) -> DataFrame:
+    """Rows among which are the `most` of the lowest hash: about a quarter more of them, or all where there are no more."""
+    n = rows.count()
+    share = 1.25 * most / max(n, 1)
+    while share < 1:
+        cut = rows.where(F.col(hash_col) < F.lit(int(share * 2.0**64) - (1 << 63)))
+        if cut.count() >= most:
+            return cut
+        share *= 2
+    return rows
+
+
 def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = MOST_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """At most `most` labelled rows' features and whether each is bad (label 0): the only rows the driver sees."""
     known = labels.select(id_col, F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    rows = stats.join(known, id_col).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), "label", *FEATURES).orderBy("h", "i").limit(most).toPandas()
+    rows = stored(stats.join(known, id_col).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), "label", *FEATURES), "labelled")
+    rows = lowest(rows, "h", most).orderBy("h", "i").limit(most).toPandas()
     return {f: rows[f].to_numpy(float) for f in FEATURES}, rows["label"].to_numpy() == 0
 
 
@@ -241,8 +259,9 @@ def rules_for(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """The rules that `apply` learns; measures the texts of at most `most` labelled ids, picked by a broadcast of those."""
     known = labels.select(F.col(id_col), F.col(label_col)).where(F.col(label_col).isNotNull())
     present = known.join(df.select(id_col).distinct(), id_col, "left_semi")
-    picked = present.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    picked = stored(picked, "labelled")
+    (h,) = fresh([id_col, label_col], "h")
+    present = stored(present.withColumn(h, F.xxhash64(id_col)), "present")
+    picked = stored(lowest(present, h, most).orderBy(h, id_col).limit(most).drop(h), "labelled")
     texts = df.select(id_col, text_col).join(F.broadcast(picked.select(id_col).distinct()), id_col, "left_semi")
     x, bad = labelled(statistics(texts, id_col, text_col), picked, id_col, label_col, most)
     return learn(x, bad, **settings)

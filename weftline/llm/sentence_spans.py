@@ -13,7 +13,8 @@ Rows are stored under a number before they are read, so that rows of one id, equ
 retried task sees the same numbers.
 
 Defined results: null texts stay null, texts without a repeat stay as they are; rows of one id are documents of their
-own, one after the other, so that of equal rows one keeps its text; null ids come first.
+own, one after the other, so that of equal rows one keeps its text; null ids come first; an empty table stays empty.
+Ids must be integers or null.  All columns stay, whatever their names, but for `removed`, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix, slices, stored, text_bytes, word_hashes, word_spans
+from .common import mix, slices, stored, stored_bytes, text_bytes, word_hashes, word_spans
 
 NO_ID = -(1 << 63)
+#: Bytes of stored rows for each bucket: a bucket's runs are about as many bytes, and are held by one task.
+BUCKET_BYTES = 32 << 20
 _PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("end", "<i4")])
 _R = 0xD1342543DE82EF95
 _POW: list[np.ndarray] = []
@@ -103,10 +107,10 @@ def _first_of_each(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[new], places[~new]
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "_span_row", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
-    """(row, places): the runs, as packed (hash, id, row, first, end), that repeat an earlier one, by row; rows are numbered."""
+def repeats(df: DataFrame, id_col: str, text_col: str, row_col: str, least_sentences: int = 2, least_words: int = 25) -> DataFrame:
+    """(row, places): the runs, as packed (hash, id, row, first, end), that repeat an earlier one, by row.  df is stored, with numbered rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * n
+    buckets = max(8 * n, -(-stored_bytes(df) // BUCKET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -150,16 +154,17 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
     """df with the repeated sentences gone from the text, and `removed`: their places (start, end) in code points."""
     rows = df.drop("removed")
-    own = stored(rows.withColumn("_span_row", F.monotonically_increasing_id()), "rows")
-    found = repeats(own, id_col, text_col, "_span_row", least_sentences, least_words)
-    spans = found.groupBy(F.col("row").alias("_span_row")).agg(F.collect_list("places").alias("_span_places"))
-    # by far most documents have none: those that have are joined, and each text is moved once
-    both = own.join(spans, "_span_row", "left").drop("_span_row")
     names, at = rows.columns, rows.columns.index(text_col)
+    own_names = [f"c{i}" for i in range(len(names))]
+    own = stored(rows.toDF(*own_names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = repeats(own, own_names[names.index(id_col)], own_names[at], "row", least_sentences, least_words)
+    spans = found.groupBy("row").agg(F.collect_list("places").alias("places"))
+    # by far most documents have none: those that have are joined, and each text is moved once
+    both = own.join(spans, "row", "left").drop("row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, own_names[at]):
             cols = [batch.column(i) for i in range(len(names))]
             texts, lists = cols[at], batch.column(len(names)).to_pylist()
             if any(lists):
@@ -197,10 +202,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols[at] = pa.array(new, pa.string())
             else:
                 removed = [[]] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, spot)], names=[*names, "removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, spot)], names=[*own_names, "removed"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return both.mapInArrow(cut, f"{shape}, removed array<struct<start:int,end:int>>")
+    spot = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    shape = T.StructType([T.StructField(n, f.dataType) for n, f in zip(own_names, rows.schema, strict=True)] + [T.StructField("removed", spot)])
+    return both.mapInArrow(cut, shape).toDF(*names, "removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

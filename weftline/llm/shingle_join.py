@@ -19,7 +19,8 @@ So no link is missed, no pair is sent for a run that is one component already, a
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer than `width` words
 have one shingle, their sequence.  component_id is the smallest id of the component (null where all are null); rows of
-one id are as many texts.  Sets are compared as 64-bit hashes of their shingles.
+one id are as many texts.  Only the two columns named are read, ids must be integers or null, and an empty table stays
+empty.  Sets are compared as 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SLOTS_LOG2 = 20
 SLICES = 32
 #: Rows of a run up to which its pairs are sent, and rows up to which a larger one is one tile, and of a block of it.
 SMALL, BLOCK = 32, 512
+#: Bytes of postings or tiles that a bucket, which one task holds, has on average at most.
+BUCKET_BYTES = 32 << 20
 #: Ids up to which the texts to verify are picked by a broadcast (16 MB); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
@@ -322,13 +325,13 @@ def _tile_pairs(tile: np.ndarray, step: int = 1 << 21) -> Iterator[tuple[np.ndar
         yield np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _tiles(runs: DataFrame, labels: DataFrame, small_run: int, block: int) -> DataFrame:
+def _tiles(runs: DataFrame, labels: DataFrame, small_run: int, block: int, threshold: int) -> DataFrame:
     """(token, lo, hi, unit, node, n, label, small) of the runs with several components, as tiles."""
     labelled = runs.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("label"))
     labelled = stored(labelled, "labelled")
     several = stored(labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 < l1").select("token", "m"), "several")
     rows = labelled.join(several, "token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("long")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold))).cast("long")
     blocks = F.ceil(F.col("m") / block).cast("long")
     unit = F.lit(1 << 32) * band + F.pmod(F.xxhash64("node"), blocks)
     small = rows.where(F.col("m") <= block).withColumns({"unit": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "small": F.col("m") <= small_run})
@@ -424,10 +427,14 @@ def _within(rows: DataFrame, arrays: DataFrame, threshold: int, buckets: int) ->
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, small_run: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; threshold in per cent."""
-    n_buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(id, n_shingles, component_id) of every row; threshold in per cent, from 1 to 99."""
+    if not 1 <= threshold <= 99:
+        raise ValueError("threshold is in per cent, from 1 to 99")
     sets = _sets_and_counts(df, id_col, text_col, width)
     rows = sets.where("slice is null").select("id", "n", "node")
+    n_shingles = rows.agg(F.sum("n")).first()[0] or 0
+    n_postings = n_shingles * (100 - threshold) // 100 + 1  # prefixes; one more a set
+    n_buckets = max(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_postings * _POSTING.itemsize // BUCKET_BYTES))
     classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "classes")
     levels = _levels(sets)
     met = _runs(_postings(df, id_col, text_col, width, threshold, levels, n_buckets), threshold)
@@ -441,7 +448,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     labels = stored(connected_components(links, "a", "b"), "labels")
 
     # every other pair that could link
-    tiles = _tiles(met.where("token is not null").select("token", "node", "n"), labels, small_run, block)
+    tiles = _tiles(met.where("token is not null").select("token", "node", "n"), labels, small_run, block, threshold)
     bits = corpus.read(tiles.select("node").distinct(), arrays=False)
     likely = _compare(tiles, bits.select("node", F.col("short").alias("bits")), threshold, n_buckets)
     sizes = tiles.select("node", "n").distinct()

@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 SEED = 17
 EXPONENT = 0.5
@@ -62,13 +62,14 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, total: floa
 
 def replicate(df: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, seed: int = SEED, exponent: float = EXPONENT, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """df's rows, each `copies` times, with copy (from 0), copies and shuffle_key, globally shuffled."""
-    table = rates(df, weights, total, exponent, source_col).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     rows = df.drop("copy", "copies", "shuffle_key")
+    name, cdf, u = fresh(df.columns, "mix_source", "mix_cdf", "mix_u")
+    table = rates(df, weights, total, exponent, source_col).select(F.col("source").alias(name), F.col("cdf").alias(cdf))
     # the side of sources is broadcast where it is small, else skewed sources are split, by the engine at run time
-    held = rows.join(table, rows[source_col].eqNullSafe(table["_mix_source"])).drop("_mix_source")
-    held = held.withColumn("_mix_u", uniform(seed, id_col))
-    copies = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
-    counted = held.withColumn("copies", F.when(F.size("_mix_cdf") == 0, 0).otherwise(copies)).drop("_mix_u", "_mix_cdf").where("copies > 0")
+    held = rows.join(table, rows[source_col].eqNullSafe(table[name])).drop(name)
+    held = held.withColumn(u, uniform(seed, id_col))
+    copies = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    counted = held.withColumn("copies", F.when(F.size(cdf) == 0, 0).otherwise(copies)).drop(u, cdf).where("copies > 0")
     out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

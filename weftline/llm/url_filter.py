@@ -20,8 +20,9 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: A rule list of more than this many bytes isn't broadcast as a trie; it is joined on host suffixes instead.
-MOST_TRIE_BYTES = 32 << 20
+#: A rule list of more nodes (host labels, path segments and a last part a rule; about 300 bytes each in a Python worker,
+#: so 90 MB) isn't broadcast as a trie; it is joined on host suffixes instead.
+MOST_TRIE_NODES = 300_000
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -55,7 +56,8 @@ class Trie:
             *whole, part = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            node.setdefault("\0", {})[part] = (verdict, rule)  # the path's last part may end within a segment
+            # the path's last part may end within a segment: parts are kept by their length
+            node.setdefault("\0", {}).setdefault(len(part), {})[part] = (verdict, rule)
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         best, key = None, (-1, -1, False)
@@ -74,9 +76,10 @@ class Trie:
         for n, below in hosts:
             at = 0
             for segment in segments:
-                for part, found in below.get("\0", {}).items():
-                    if segment.startswith(part):
-                        now = (n + at + len(part), n, found[0] == "block")
+                for size, parts in below.get("\0", {}).items():
+                    found = parts.get(segment[:size]) if size <= len(segment) else None
+                    if found is not None:
+                        now = (n + at + size, n, found[0] == "block")
                         if now > key:
                             best, key = found, now
                 at += len(segment) + 1
@@ -86,9 +89,9 @@ class Trie:
         return best
 
 
-def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_trie_bytes: int = MOST_TRIE_BYTES) -> DataFrame:
+def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_trie_nodes: int = MOST_TRIE_NODES) -> DataFrame:
     """(id, host, path, rule, verdict) of every row; rules are (allow or block, host and path prefix)."""
-    if sum(len(v) + len(r) for v, r in rules) > most_trie_bytes:
+    if sum(3 + r.count("/") + r.partition("/")[0].count(".") for _, r in rules) > most_trie_nodes:
         return _filter_by_join(df, rules, id_col, url_col, default)
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
