@@ -90,7 +90,7 @@ def drop_stored(df: DataFrame) -> None:
 
 
 # --- texts in Arrow batches -------------------------------------------------------------------
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most most_bytes of text each (one row at least), so that memory is bounded."""
     for batch in batches:
         if not batch.num_rows:

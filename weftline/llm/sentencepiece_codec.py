@@ -28,10 +28,10 @@ from .common import WordTable, slices, text_bytes, word_hashes
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-#: Entries of each of the dictionaries that a Python worker keeps, and units of its table (64 MB); a full one starts anew.
-MOST_KEPT, MOST_UNITS = 250_000, 2_000_000
+#: Entries of each of the dictionaries that a Python worker keeps, and units of its table (16 MB); a full one starts anew.
+MOST_KEPT, MOST_UNITS = 150_000, 800_000
 #: Bytes of text that are encoded at once (up to the end of a unit).
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 
 class Encoder:
@@ -55,7 +55,7 @@ class Encoder:
         self.chars = {c for p in self.id for c in p if c in self.id}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
-        self.most_units, self.slots_log2 = most_units, max(12, (2 * most_units - 1).bit_length())
+        self.most_units, self.slots_log2 = most_units, max(12, (most_units + most_units // 4 - 1).bit_length())
         self.table = WordTable(self.slots_log2)
         # pieces that merging never yields are no candidates
         self.automaton = ahocorasick.Automaton()
@@ -242,7 +242,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(model)
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             ids = codec.encode_all(batch.column(1))
             cols = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             names = [id_col, "ids"]
@@ -274,7 +274,7 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(model)
         names = [str(i) for i in range(codec.sp.get_piece_size())]
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             rows = []
             for ids in codec.encode_all(batch.column(1)):
                 joined = ",".join([names[i] for i in ids])

@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 16
 #: Words whose ids a Python worker keeps (about 90 MB); a full table starts anew.
 MOST_KEPT = 2_000_000
 #: Bytes of text that are encoded at once (up to the end of a word).
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 #: Ids that a reader hands on at once (one document at least).
 READ_IDS = 1 << 20
 
@@ -210,7 +210,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_kept = most_kept
-        self.slots_log2 = max(12, (2 * most_kept - 1).bit_length())
+        self.slots_log2 = max(12, (most_kept + most_kept // 4 - 1).bit_length())
         with open(path, encoding="utf-8") as file:
             plan = json.load(file)
         self.by_word = self._cut_by_word(plan)
