@@ -67,17 +67,17 @@ def test_jaccard_searches_all_documents(spark, tmp_path):
     docs = [(d, f"other words {d}") for d in (0, 5, 10)] + [(3, "the quick brown fox"), (7, "a lazy dog sleeps")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "quick brown fox"), (2, "lazy dog"), (3, "other words 5")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert sorted(map(tuple, catalog.QUERIES["jaccard_top1_all"](spark, str(tmp_path)).collect())) == [(1, 3, 0.75), (2, 7, 0.5), (3, 5, 1.0)]
+    assert sorted(map(tuple, catalog.QUERIES["jaccard_top1"](spark, str(tmp_path)).collect())) == [(1, 3, 0.75), (2, 7, 0.5), (3, 5, 1.0)]
 
 
 def test_losses_and_resamples_cover_all_lines(spark, tmp_path):
     lines = [(1, n, 7, "A", 1.0 if n <= 4 else 100.0, 997.0 * n) for n in (1, 2, 4, 5, 7)] + [(2, n, 7, "A", 100.0, 997.0 * n) for n in (5, 7)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).first()
-    assert run("loss_token_mean_all").loss == round(31 / 7, 4)
-    assert run("loss_seq_mean_token_sum_all").loss == (19 + 12) / 2
-    assert run("loss_seq_mean_token_mean_all").loss == (19 / 5 + 6) / 2
-    assert run("loss_seq_mean_token_sum_norm_all").loss == round(31 / 7, 3)
+    assert run("loss_token_mean").loss == round(31 / 7, 4)
+    assert run("loss_seq_mean_token_sum").loss == (19 + 12) / 2
+    assert run("loss_seq_mean_token_mean").loss == (19 / 5 + 6) / 2
+    assert run("loss_seq_mean_token_sum_norm").loss == round(31 / 7, 3)
     assert run("bootstrap").best > 50
 
 

@@ -1,7 +1,5 @@
 """Plans: problems, graphs, execution."""
 
-from pyspark.sql import functions as F
-
 from weftline.plans import compile as plan_compile
 from weftline.plans.model import Answer, Operator, Pattern, Plan
 from weftline.plans.validate import issues
@@ -46,7 +44,6 @@ def test_execute(spark):
         [("Film A", "Director", "Martin Lee", "s:1", 1), ("film  B", "director", "Ann Ray", "s:2", 2), ("“Martin Lee”", "date of birth", "May 3, 1948", "s:0", 0), ("Ann Ray", "date of birth", "1950", "s:3", 3)],
         "subject string, relation string, object string, source_ref string, stream_position long",
     )
-    facts = facts.withColumns({c: F.regexp_replace(c, "[“”]", "") for c in ("subject", "object")})
     both = Plan(
         (Pattern("T1", "Film A", "director", "?a"), Pattern("T2", "?a", "date of birth", "?x")),
         (Operator("EARLIER", ("?x", "1949-01-01"), {"output": "?e"}), Operator("COMPARE", ("?x", "1950", ), {"output": "?c", "comparison": "LT"}), Operator("FILTER", ("?x",), {"output": "?no"})), Answer("?e"),

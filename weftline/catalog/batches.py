@@ -240,18 +240,13 @@ def _(t):
 
 
 for _mode, _sql in (
-    ("token-mean", f"SELECT round(sum({_S} * {_M}) / (sum({_M}) + 1e-8), 4) AS loss FROM lineitem WHERE l_linenumber < 3"),
-    ("seq-mean-token-sum", f"SELECT round(avg(l), 4) AS loss FROM (SELECT sum({_S} * {_M}) AS l FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey)"),
-    ("seq-mean-token-mean", f"SELECT round(avg(l), 4) AS loss FROM (SELECT sum({_S} * {_M}) / sum({_M}) AS l FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey)"),
-    ("seq-mean-token-sum-norm", f"SELECT round(sum({_S} * {_M}) / 7.0, 3) AS loss FROM lineitem WHERE l_linenumber < 3"),
+    ("token-mean", f"SELECT round(sum({_S} * {_M}) / (sum({_M}) + 1e-8), 4) AS loss FROM lineitem"),
+    ("seq-mean-token-sum", f"SELECT round(avg(l), 4) AS loss FROM (SELECT sum({_S} * {_M}) AS l FROM lineitem GROUP BY l_orderkey)"),
+    ("seq-mean-token-mean", f"SELECT round(avg(l), 4) AS loss FROM (SELECT sum({_S} * {_M}) / sum({_M}) AS l FROM lineitem GROUP BY l_orderkey)"),
+    ("seq-mean-token-sum-norm", f"SELECT round(sum({_S} * {_M}) / 7.0, 3) AS loss FROM lineitem"),
 ):
 
     @query("loss_" + _mode.replace("-", "_"), _sql)
-    def _(t, mode=_mode):
-        rows = _score(t).where("l_linenumber < 3")
-        return advantage.aggregate_loss(rows, "l_orderkey", F.col("s"), F.col("m"), mode, 7).select(F.round("loss", 3 if mode.endswith("norm") else 4).alias("loss"))
-
-    @query("loss_" + _mode.replace("-", "_") + "_all", _sql.replace(" WHERE l_linenumber < 3", ""))
     def _(t, mode=_mode):
         return advantage.aggregate_loss(_score(t), "l_orderkey", F.col("s"), F.col("m"), mode, 7).select(F.round("loss", 3 if mode.endswith("norm") else 4).alias("loss"))
 
@@ -300,11 +295,6 @@ def _(t):
     return balance.partition(_lengths(t), "batch", "row", "length", 4)
 
 
-@query("greedy_partition")
-def _(t):
-    return balance.partition(_lengths(t), "batch", "row", "length", 4, "greedy")
-
-
 @query("partition_imbalance", "SELECT min(s)::BIGINT AS least, max(s)::BIGINT AS most, round(avg(s), 4) AS mean FROM (SELECT o_custkey % 10 AS b, sum(CAST(trunc(o_totalprice / 1000) AS BIGINT)) AS s FROM orders GROUP BY 1)")
 def _(t):
     return balance.imbalance(_lengths(t), "batch", "length").select("least", "most", F.round("mean", 4).alias("mean"))

@@ -114,17 +114,6 @@ _SET = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(tex
 
 @query(
     "jaccard_top1",
-    f"""WITH a AS (SELECT doc_id, {_SET} AS s FROM documents WHERE doc_id % 5 = 0), b AS (SELECT item_id, {_SET} AS q FROM benchmark),
-p AS (SELECT item_id, doc_id, len(list_intersect(s, q)) AS i, len(s) AS n, len(q) AS m FROM a, b)
-SELECT item_id, doc_id, round(i / (n + m - i), 6) AS score FROM p WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i / (n + m - i) DESC, doc_id) = 1""",
-)
-def _(t):
-    memories = t("documents").where("doc_id % 5 = 0")
-    return retrieval.jaccard_top(memories, t("benchmark").select("item_id", F.col("text").alias("q")), "doc_id", "text", "item_id", "q").select("item_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-@query(
-    "jaccard_top1_all",
     f"""WITH a AS (SELECT doc_id, {_SET} AS s FROM documents), b AS (SELECT item_id, {_SET} AS q FROM benchmark),
 p AS (SELECT item_id, doc_id, len(list_intersect(s, q)) AS i, len(s) AS n, len(q) AS m FROM a, b)
 SELECT item_id, doc_id, round(i / (n + m - i), 6) AS score FROM p WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i / (n + m - i) DESC, doc_id) = 1""",

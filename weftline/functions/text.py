@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 QUOTES = "\"'“”‘’"
 _EDGE = rf"^[\s{QUOTES}]+|[\s{QUOTES}]+$"
@@ -189,6 +190,76 @@ def tool_call(c: Column) -> Column:
     return F.from_json(F.when(inner != "", inner), "name string, arguments map<string,string>", {"mode": "PERMISSIVE"})
 
 
+def callback_count(response: Column) -> Column:
+    """1 where a response recalls exactly one thing, else 0."""
+    return one_tag(response, "recall")
+
+
+def update_count(response: Column) -> Column:
+    return one_tag(response, "update")
+
+
+def action_reward(prompt: Column, response: Column, recalled: Column, truths: Column, action: Column) -> Column:
+    """What a memory turn (action 2) adds: the recall that its update gains over the memory before, and that what it recalled gains over the prompt."""
+    gained = word_recall(first_tag(response, "update"), truths) - word_recall(first_tag(prompt, "memory"), truths)
+    revisit = word_recall(F.concat(recalled, F.lit(" "), prompt), truths) - word_recall(prompt, truths)
+    return F.when(action == 2, gained + F.greatest(revisit, F.lit(0.0))).when(action.isin(0, 1), 0.0)
+
+
+def action_weight(prompt: Column, truths: Column, action: Column) -> Column:
+    """A turn's weight: 1, or for a memory turn a half more than the truths' words that its prompt has."""
+    return F.when(action == 2, word_recall(prompt, truths) + 0.5).when(action.isin(0, 1), 1.0)
+
+
+def token_template(before: Column, *parts: Column) -> Column:
+    """Token ids of a template and its parts in turn, as one array."""
+    return F.concat(before, *parts)
+
+
+def _key(s: str) -> str:
+    return " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"\s*\([^()]*\)\s*$", "", s).casefold()).split())
+
+
+@F.pandas_udf(DoubleType())
+def alias_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How alike two names are: the matching ratio of their keys, and half the share of the shorter one's words that both have."""
+
+    def score(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        x, y = _key(x), _key(y)
+        p, q = set(x.split()), set(y.split())
+        return SequenceMatcher(None, x, y).ratio() + 0.5 * len(p & q) / max(1, min(len(p), len(q)))
+
+    return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(StringType())
+def question_anchor_udf(value: pd.Series, question: pd.Series) -> pd.Series:
+    """The run of a question's words that is most like a value: matching ratio, and 0.35 times the Jaccard index of the words.
+
+    Runs have four words more than the value at most; of equal ones the longer wins; null below 0.35.
+    """
+
+    def best(v: str | None, q: str | None) -> str | None:
+        if v is None or q is None:
+            return None
+        spans, target = [m.span() for m in re.finditer(r"\w+(?:['’-]\w+)*", q)], _key(v)
+        mine, matcher, found = set(target.split()), SequenceMatcher(None, "", ""), (0.0, 0, None)
+        for i in range(len(spans)):
+            for j in range(i, min(len(spans), i + max(1, len(mine) + 4))):
+                phrase = q[spans[i][0] : spans[j][1]]
+                key = _key(phrase)
+                matcher.set_seqs(target, key)
+                theirs = set(key.split())
+                score = matcher.ratio() + 0.35 * len(mine & theirs) / max(1, len(mine | theirs))
+                if (score, len(phrase)) > found[:2]:
+                    found = (score, len(phrase), phrase)
+        return found[2] if found[0] >= 0.35 else None
+
+    return pd.Series([best(v, q) for v, q in zip(value, question, strict=True)], dtype=object)
+
+
 def callback_distance(prompt: Column) -> Column:
     """Steps between the first recalled and the first current memory in a prompt; 0 without either."""
     first = lambda name: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(prompt, F.lit(rf"<{name}> \(step=(\d+)\)"), 1), lambda x: x.cast("int")), lambda x: x >= 1), F.lit(1))

@@ -119,9 +119,40 @@ def unfold(df: DataFrame, size: int, column: str) -> DataFrame:
 
 def mini_batches(df: DataFrame, size: int, epochs: int) -> DataFrame:
     """df with epoch and batch_id: whole batches of `size` rows, in every epoch's own hashed order."""
-    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(F.md5(F.concat_ws(":", "epoch", ROW)))) - 1
-    return rows.withColumn("batch_id", F.floor(place / size).cast("long"))
+    rows = df.withColumnRenamed(ROW, "_own").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    # every epoch has as many rows: places over all epochs give each one's own
+    placed = numbered(rows.withColumn("_key", F.md5(F.concat_ws(":", "epoch", "_own"))), "epoch", "_key", "_own")
+    first = placed.groupBy("epoch").agg(F.min(ROW).alias("_first"))
+    placed = placed.join(F.broadcast(first), "epoch")  # one row an epoch
+    return placed.withColumn("batch_id", F.floor((F.col(ROW) - F.col("_first")) / size).cast("long")).drop(ROW, "_key", "_first").withColumnRenamed("_own", ROW)
+
+
+def pick(df: DataFrame, n: int, index: int | slice | Sequence[int] | Sequence[bool] | str | Sequence[str]) -> DataFrame:
+    """Rows or columns of a batch of n rows by what the index is: a place, a slice, places, a mask, a column or columns.
+
+    Places may be negative and repeat; the result is numbered anew in the order of the index.
+    """
+    if isinstance(index, str):
+        return select(df, index)
+    if isinstance(index, int):
+        index = [index]
+    if isinstance(index, slice):
+        index = range(*index.indices(n))
+        a, s = index.start, index.step
+        inside = F.pmod(F.col(ROW) - a, F.lit(abs(s))) == 0
+        inside &= (F.col(ROW) >= a) & (F.col(ROW) < index.stop) if s > 0 else (F.col(ROW) <= a) & (F.col(ROW) > index.stop)
+        return df.where(inside).withColumn(ROW, F.floor((F.col(ROW) - a) / s).cast("long"))
+    index = list(index)
+    if index and isinstance(index[0], str):
+        return select(df, *index)
+    if index and isinstance(index[0], bool):
+        if len(index) != n:
+            raise ValueError("a mask has as many entries as the batch has rows")
+        index = [i for i, on in enumerate(index) if on]
+    if any(not -n <= i < n for i in index):
+        raise IndexError("place outside the batch")
+    places = df.sparkSession.createDataFrame([(at, i % n) for at, i in enumerate(index)], f"at long, {ROW} long")
+    return by_index(df, places)
 
 
 def graceful_padding(rows: int, groups: int) -> list[int]:

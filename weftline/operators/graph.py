@@ -16,20 +16,28 @@ from ..plans.model import Pattern, is_variable
 
 
 def matching(facts: DataFrame, pattern: Pattern) -> DataFrame:
-    """Facts of a pattern's relation that its constants allow, with a column for each variable and the fact's place."""
+    """Facts of a pattern's relation that its constants allow, with the fact's place, and for each variable a column and its key.
+
+    Spellings count by their normalised form: `?a` has a column a as the fact spells it, and _key_a, on which patterns join.
+    """
     same = text.entity(F.col("relation")) == text.entity(F.lit(pattern.family or pattern.relation))
     rows = facts.where(same)
     for end, value in (("subject", pattern.subject), ("object", pattern.object)):
         if not is_variable(value):
             names = [value, *pattern.aliases.get(end, ())]
-            rows = rows.where(text.entity(F.col(end)).isin([" ".join(n.lower().split()) for n in names]))
+            rows = rows.where(F.array_contains(F.array(*[text.entity(F.lit(n)) for n in names]), text.entity(F.col(end))))
     out = [F.col("source_ref").alias(f"ref_{pattern.id}"), F.col("stream_position").alias(f"at_{pattern.id}")]
-    out += [F.col(end).alias(value[1:]) for end, value in (("subject", pattern.subject), ("object", pattern.object)) if is_variable(value)]
+    for end, value in (("subject", pattern.subject), ("object", pattern.object)):
+        if is_variable(value):
+            out += [F.col(end).alias(value[1:]), text.entity(F.col(end)).alias(f"_key_{value[1:]}")]
     return rows.select(*out)
 
 
 def path_join(facts: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """All bindings of the patterns' variables: one equi-join for each pattern, on the variables that it shares."""
+    """All bindings of the patterns' variables: one equi-join for each pattern, on the keys of the variables that it shares.
+
+    A variable is given as the first pattern that has it spells it.
+    """
     left = list(patterns)
     bound = matching(facts, left[0])
     names = {v[1:] for v in (left[0].subject, left[0].object) if is_variable(v)}
@@ -39,10 +47,89 @@ def path_join(facts: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         if following is None:
             raise ValueError("the patterns aren't connected by variables")
         mine = {v[1:] for v in (following.subject, following.object) if is_variable(v)}
-        bound = bound.join(matching(facts, following), sorted(names & mine))
+        shared = sorted(names & mine)
+        bound = bound.join(matching(facts, following).drop(*shared), [f"_key_{v}" for v in shared])
         names |= mine
         left.remove(following)
-    return bound
+    return bound.drop(*[f"_key_{v}" for v in names])
+
+
+def cascade(facts: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """Every fact that the patterns commit, and when: (pattern_id, subject, object, source_ref, stream_position, bound_at, committed_at, status).
+
+    Patterns bind in turn, each from its subject to its object (subjects are constants, unbound, or objects of patterns
+    before it).  A fact whose subject is bound already when it is read is DIRECT; one that is read before waits, and is
+    PROMOTED where the first fact that binds its subject is committed, at once with facts that wait for its own object.
+    Joins are on normalised spellings, one a pattern, whatever the number of facts.
+    """
+    bound: dict[str, DataFrame] = {}
+    out = []
+    left = list(patterns)
+    while left:
+        produced = {p.object for p in left if is_variable(p.object)}
+        p = next((q for q in left if q.subject not in produced), None)
+        if p is None:
+            raise ValueError("the patterns bind in a circle")
+        left.remove(p)
+        rows = facts.where(text.entity(F.col("relation")) == text.entity(F.lit(p.family or p.relation)))
+        for end, value in (("subject", p.subject), ("object", p.object)):
+            if not is_variable(value):
+                rows = rows.where(F.array_contains(F.array(*[text.entity(F.lit(n)) for n in (value, *p.aliases.get(end, ()))]), text.entity(F.col(end))))
+        rows = rows.withColumns({"_s": text.entity(F.col("subject")), "_o": text.entity(F.col("object"))})
+        if p.subject in bound:
+            rows = rows.join(bound[p.subject].withColumnRenamed("key", "_s"), "_s")
+        else:
+            rows = rows.withColumn("bound_at", F.lit(None).cast("long"))
+        late = F.col("bound_at") > F.col("stream_position")
+        rows = rows.withColumns({"committed_at": F.greatest("bound_at", "stream_position"), "status": F.when(late, "PROMOTED").otherwise("DIRECT")})
+        out.append(rows.select(F.lit(p.id).alias("pattern_id"), "subject", "object", "source_ref", "stream_position", "bound_at", "committed_at", "status"))
+        if is_variable(p.object):
+            first = rows.groupBy(F.col("_o").alias("key")).agg(F.min("committed_at").alias("bound_at"))
+            before = bound.get(p.object)
+            bound[p.object] = first if before is None else before.unionByName(first).groupBy("key").agg(F.min("bound_at").alias("bound_at"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def deferred_matches(waiting: DataFrame, needs: DataFrame) -> DataFrame:
+    """(claim_id, variable, by_title): waiting facts that a new binding asks for, on its side and of its relation.
+
+    waiting: (claim_id, subject, relation, object, title, text); needs: (variable, side, value, relation).  A fact meets
+    a need if the end on that side is the value, or if its document's title is, and its sentence mentions that end.
+    """
+    ends = waiting.select("claim_id", "title", "text", text.entity(F.col("relation")).alias("r"), F.explode(F.array(F.struct(F.lit("subject").alias("side"), F.col("subject").alias("end")), F.struct(F.lit("object").alias("side"), F.col("object").alias("end")))).alias("e")).select("claim_id", "title", "text", "r", "e.side", "e.end")
+    spelt = F.struct(text.entity(F.col("end")).alias("k"), F.lit(False).alias("by_title"))
+    titled = F.when(text.contains_span(F.col("text"), F.col("end")), F.struct(text.entity(F.col("title")).alias("k"), F.lit(True).alias("by_title")))
+    keyed = ends.select("claim_id", "r", "side", F.explode(F.array_compact(F.array(spelt, titled))).alias("m")).select("claim_id", "r", "side", "m.k", "m.by_title")
+    asked = needs.select("variable", "side", text.entity(F.col("value")).alias("k"), text.entity(F.col("relation")).alias("r"))
+    return keyed.join(asked, ["r", "side", "k"]).groupBy("claim_id", "variable").agg(F.min("by_title").alias("by_title"))
+
+
+def open_descendants(edges: DataFrame, run: str = "run_id", most: int = 16) -> DataFrame:
+    """(run, edge_id, open): whether a required edge that isn't SATISFIED or CONFLICTED can be reached from an edge's object.
+
+    edges: (run, edge_id, subject, object, required, state), few a run: `most` bounds the length of a path.  All runs
+    are followed together, one join a step, until no path grows.
+    """
+    step = edges.select(run, F.col("subject").alias("at"), F.col("object").alias("to"), F.col("edge_id").alias("via"), (F.col("required") & ~F.col("state").isin("SATISFIED", "CONFLICTED")).alias("open"))
+    from_to = edges.select(run, F.col("edge_id").alias("origin"), F.col("object").alias("at"))
+    reached, here = from_to, from_to
+    for _ in range(most):
+        here = here.join(step, [run, "at"]).where("via <> origin").select(run, "origin", F.col("to").alias("at")).where(F.startswith("at", F.lit("?"))).distinct()
+        reached = reached.unionByName(here)
+    hit = reached.distinct().join(step, [run, "at"]).where("via <> origin").groupBy(run, F.col("origin").alias("edge_id")).agg(F.max("open").alias("open"))
+    return edges.select(run, "edge_id").join(hit, [run, "edge_id"], "left").select(run, "edge_id", F.coalesce("open", F.lit(False)).alias("open"))
+
+
+def selected_path(claims: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Claims of which each end that a variable stands for is that variable's binding.
+
+    claims: (run_id, claim_id, subject_var, subject, object_var, object), a null variable for a constant end.
+    """
+    for end in ("subject", "object"):
+        b = bindings.select("run_id", F.col("variable").alias(f"{end}_var"), text.entity(F.col("value")).alias("_bound"))
+        held = claims.join(b, ["run_id", f"{end}_var"], "left")
+        claims = held.where(F.col(f"{end}_var").isNull() | (F.col("_bound") == text.entity(F.col(end)))).drop("_bound")
+    return claims
 
 
 def deferred(attributes: DataFrame, bindings: DataFrame) -> DataFrame:

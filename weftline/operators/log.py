@@ -41,6 +41,36 @@ def replay(log: DataFrame, run: str, key: str, value: str, seq: str = "event_seq
     return log.groupBy(run, key).agg(F.max_by(value, seq).alias(value), F.count(F.lit(1)).alias("changes"))
 
 
+def replay_claims(log: DataFrame) -> DataFrame:
+    """(run_id, claim_id, deferred, pending, verified, rejected, conflicts): where a log leaves each claim.
+
+    log: (run_id, event_seq, event_type, claim_id, verification_required).  A promotion or a rejection takes a claim out of
+    those deferred and pending, a rejection out of those verified as well; a rejected claim stays so.
+    """
+    last = lambda *types, need=None: F.coalesce(F.max(F.when(F.col("event_type").isin(*types) & (F.lit(True) if need is None else F.coalesce("verification_required", F.lit(False)) == F.lit(need)), F.col("event_seq"))), F.lit(-1))
+    at = log.where("claim_id is not null").groupBy("run_id", "claim_id").agg(
+        last("CLAIM_DEFERRED").alias("d"), last("CLAIM_COMMITTED", need=True).alias("p"), last("CLAIM_COMMITTED", need=False).alias("v"), last("CLAIM_PROMOTED").alias("up"),
+        last("VERIFY_REJECTED").alias("no"), F.count_if(F.col("event_type") == "VERIFY_CONFLICT").alias("conflicts"),
+    )
+    gone = F.greatest("up", "no")
+    return at.select("run_id", "claim_id", (F.col("d") > gone).alias("deferred"), (F.col("p") > gone).alias("pending"), (F.greatest("v", "up") > F.col("no")).alias("verified"), (F.col("no") >= 0).alias("rejected"), "conflicts")
+
+
+#: The state that an event gives an edge.
+EDGE_EVENTS = {"QUERY_EDGE_ACTIVATED": "ACTIVE", "QUERY_EDGE_DORMANT": "DORMANT", "QUERY_EDGE_SATISFIED": "SATISFIED", "QUERY_EDGE_CONFLICTED": "CONFLICTED"}
+
+
+def replay_edges(log: DataFrame) -> DataFrame:
+    """(run_id, edge_id, state, support): each edge's last state and, in order, the claims that satisfied it.
+
+    log: (run_id, event_seq, event_type, edge_id, claim_id)
+    """
+    state = F.element_at(F.create_map(*[F.lit(x) for pair in EDGE_EVENTS.items() for x in pair]), F.col("event_type"))
+    rows = log.where(F.col("event_type").isin(*EDGE_EVENTS))
+    support = F.array_sort(F.collect_list(F.when(F.col("event_type") == "QUERY_EDGE_SATISFIED", F.struct("event_seq", "claim_id"))))
+    return rows.groupBy("run_id", "edge_id").agg(F.max_by(state, "event_seq").alias("state"), F.transform(support, lambda s: s["claim_id"]).alias("support"))
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """(run_id, snapshot_id, event_seq) of each run's last snapshot."""
     return snapshots.groupBy("run_id").agg(F.max(F.struct("event_seq", "snapshot_id")).alias("s")).select("run_id", F.col("s.snapshot_id").alias("snapshot_id"), F.col("s.event_seq").alias("event_seq"))

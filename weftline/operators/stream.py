@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 ORDERS = ("original", "reverse", "shuffle", "interleaved", "distant")
 
 
@@ -77,6 +79,47 @@ def read_prefix(manifest: DataFrame, cursor: int) -> DataFrame:
     return manifest.where(F.col("stream_position") <= cursor)
 
 
+def prefix_violations(manifest: DataFrame, reads: DataFrame) -> DataFrame:
+    """(sample_id, source_ref, kind) of reads (sample_id, source_ref, cursor) that a run must not make.
+
+    UNKNOWN: no such sentence; UNREAD: it stands after the cursor; CONTEXT_ONLY: it is there for context alone.
+    """
+    only = F.col("context_only") if "context_only" in manifest.columns else F.lit(False)
+    known = manifest.select("sample_id", "source_ref", "stream_position", only.alias("_only"))
+    kind = F.when(F.col("stream_position").isNull(), "UNKNOWN").when(F.col("stream_position") > F.col("cursor"), "UNREAD").when(F.col("_only"), "CONTEXT_ONLY")
+    return reads.join(known, ["sample_id", "source_ref"], "left").select("sample_id", "source_ref", kind.alias("kind")).where("kind is not null")
+
+
+def uncited(decisions: DataFrame, supplied: DataFrame) -> DataFrame:
+    """(decision_id, kind) of decisions whose citations don't hold.
+
+    decisions: (decision_id, refs, supporting_text); supplied: (decision_id, source_ref, text).  NONE: no citation; FOREIGN:
+    one that wasn't supplied; NOT_THERE: the supporting text is in none of the cited sentences.
+    """
+    cited = decisions.select("decision_id", F.explode_outer("refs").alias("source_ref"), "supporting_text").join(supplied, ["decision_id", "source_ref"], "left")
+    there = text.contains_span(F.coalesce("text", F.lit("")), F.coalesce("supporting_text", F.lit("")))
+    per = cited.groupBy("decision_id").agg(F.count("source_ref").alias("n"), F.count_if(F.col("source_ref").isNotNull() & F.col("text").isNull()).alias("foreign"), F.max(there).alias("there"))
+    kind = F.when(F.col("n") == 0, "NONE").when(F.col("foreign") > 0, "FOREIGN").when(~F.col("there"), "NOT_THERE")
+    return per.select("decision_id", kind.alias("kind")).where("kind is not null")
+
+
+def ordered_events(events: DataFrame, run: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """(events with `place` in reading order, (run, moved) of the runs whose order changed).
+
+    events: (run, at, stream_position, span_hint, event_id); at is the order they came in.
+    """
+    w = Window.partitionBy(run)
+    placed = events.withColumns({"place": F.row_number().over(w.orderBy("stream_position", F.coalesce("span_hint", F.lit("")), "event_id")) - 1, "_came": F.row_number().over(w.orderBy("at")) - 1})
+    moved = placed.groupBy(run).agg(F.count_if(F.col("place") != F.col("_came")).alias("moved")).where("moved > 0")
+    return placed.drop("_came"), moved
+
+
+def anchor_recall(manifest: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(sample_id, source_ref, anchor) of a sample's sentences that mention one of its own anchors; anchors: (sample_id, anchor)."""
+    hit = text.contains_span(F.col("text"), F.col("anchor"))
+    return manifest.join(anchors.distinct(), "sample_id").where(hit).select("sample_id", "source_ref", "anchor")
+
+
 def neighbourhood(manifest: DataFrame, refs: DataFrame, k: int = 1) -> DataFrame:
     """(anchor, source_ref) of the sentences at most k places from an anchor, within its document: an equi-join on places."""
     at = manifest.join(refs.select("source_ref"), "source_ref", "left_semi").select("sample_id", "document_id", F.col("source_ref").alias("anchor"), F.explode(F.sequence(F.col("stream_position") - k, F.col("stream_position") + k)).alias("stream_position"))

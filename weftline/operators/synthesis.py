@@ -10,12 +10,20 @@ def contexts(questions: DataFrame, corpus: DataFrame, num_docs: int, seed: int =
     """(question_id, docs, evidence, is_ordered, is_reverse_ordered, min_distance).
 
     questions: (question_id, gold: array of corpus positions); corpus: (position), dense from 0.  Distractors are the
-    hashed positions that aren't gold; a question draws num_docs plus its gold ones, so that enough are left, and no
-    question meets the whole corpus.  min_distance is null for one piece of evidence.
+    hashed positions that aren't gold: num_docs documents in all with the gold ones, or as many as the corpus has.  A
+    corpus of a few times as many is ordered by hash as a whole; of a larger one a question draws four times as many as
+    it needs, of which enough are unlike, and never meets the whole corpus.  min_distance is null for one piece of evidence.
     """
     n = corpus.agg(F.max("position")).first()[0]
     n = 0 if n is None else n + 1
-    draws = F.transform(F.sequence(F.lit(0), F.lit(2 * num_docs) + F.size("gold")), lambda i: F.pmod(F.xxhash64(F.lit(seed), "question_id", i), F.lit(n)))
+    hashed = lambda i: F.xxhash64(F.lit(seed), "question_id", i)
+    if n == 0:
+        draws = F.expr("cast(array() as array<bigint>)")
+    elif n <= 4 * num_docs:
+        places = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.struct(hashed(i).alias("k"), i.alias("i")))
+        draws = F.transform(F.array_sort(places), lambda x: x["i"])
+    else:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(4 * num_docs + 64) + F.size("gold")), lambda i: F.pmod(hashed(i), F.lit(n).cast("long")))
     others = F.slice(F.array_except(F.array_distinct(draws), F.col("gold").cast("array<bigint>")), 1, F.greatest(F.lit(num_docs) - F.size("gold"), F.lit(0)))
     picked = questions.select("question_id", "gold", F.concat(F.col("gold").cast("array<bigint>"), others).alias("picked"))
     keyed = F.transform("picked", lambda d: F.struct(F.xxhash64(F.lit(seed + 1), "question_id", d).alias("k"), d.alias("d")))

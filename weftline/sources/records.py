@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
@@ -70,8 +73,73 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -
 
 
 def nested_key(df: DataFrame, path: str) -> Column:
-    """A column within structs, by a dotted path."""
-    return F.col(path)
+    """A value within structs and maps, by a dotted path; names with dots in them may be quoted with backticks.
+
+    A key that a map lacks gives null; a name that a struct lacks raises.
+    """
+    names = [n.strip("`") for n in re.findall(r"`[^`]+`|[^.]+", path)]
+    out, kind = F.col(f"`{names[0]}`"), df.schema[names[0]].dataType
+    for name in names[1:]:
+        if isinstance(kind, MapType):
+            out, kind = F.try_element_at(out, F.lit(name)), kind.valueType
+        elif isinstance(kind, StructType):
+            out, kind = out.getField(name), kind[name].dataType
+        else:
+            raise ValueError(f"{path}: nothing is within {kind.simpleString()}")
+    return out
+
+
+def read_all(spark: SparkSession, paths: Sequence[str], limit_columns: Sequence[str] = ()) -> DataFrame:
+    """Rows of several files, each Parquet or JSON by its ending, by column name; what one lacks is null there."""
+    parts = []
+    for path in paths:
+        kind = "parquet" if path.endswith(".parquet") else "json" if path.endswith((".json", ".jsonl")) else None
+        if kind is None:
+            raise ValueError(f"unsupported table file: {path}")
+        reader = spark.read.format(kind)
+        part = (reader.option("multiLine", True) if path.endswith(".json") else reader).load(path)
+        parts.append(part.select(*limit_columns) if limit_columns else part)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def preference_pairs(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected", template: str = "{}{}") -> DataFrame:
+    """(prompt, answer, preferred) of every pair: two rows, the chosen answer first; template puts the prompt and an answer together."""
+    before, middle, after = (template.split("{}") + ["", ""])[:3]
+    whole = lambda c: F.concat(F.lit(before), F.col(prompt), F.lit(middle), F.col(c), F.lit(after))
+    both = F.array(F.struct(whole(chosen).alias("answer"), F.lit(True).alias("preferred")), F.struct(whole(rejected).alias("answer"), F.lit(False).alias("preferred")))
+    return df.select(F.col(prompt).alias("prompt"), F.explode(both).alias("x")).select("prompt", "x.answer", "x.preferred")
+
+
+def short_prompts(df: DataFrame, length: Column, most: int) -> DataFrame:
+    """Rows whose prompt isn't longer than `most` (tokens, words or whatever length counts)."""
+    return df.where(length <= most)
+
+
+def chosen_samples(df: DataFrame, id_col: str, order: str, ids: Sequence[str] | None = None, start: int = 0, count: int | None = None) -> DataFrame:
+    """The samples named, or `count` of them from place `start` on in an order; an id that isn't there raises."""
+    if ids is not None:
+        wanted = df.sparkSession.createDataFrame([(i,) for i in ids], "_id string")
+        rows = df.join(F.broadcast(wanted), F.col(id_col).cast("string") == F.col("_id")).drop("_id")
+        lacking = set(ids) - {str(r[0]) for r in rows.select(id_col).distinct().collect()}  # as many as were named at most
+        if lacking:
+            raise ValueError(f"no such samples: {sorted(lacking)}")
+        return rows
+    return df.orderBy(order).offset(start).limit(count) if count is not None else df.orderBy(order).offset(start)
+
+
+def final_turns(turns: DataFrame, sample: str, step: str) -> DataFrame:
+    """Each sample's last turn, with `final` and its action: 0 for the final turn, 2 for those before it, in `labelled_turns`."""
+    return labelled_turns(turns, sample, step).where("final").drop("final")
+
+
+def labelled_turns(turns: DataFrame, sample: str, step: str) -> DataFrame:
+    """turns with step_id (from 0 in each sample), final, and action_type: 0 for the final turn, 2 for a memory turn."""
+    w = Window.partitionBy(sample).orderBy(step)
+    rows = turns.withColumns({"step_id": F.row_number().over(w) - 1, "final": F.lead(F.lit(1)).over(w).isNull()})
+    return rows.withColumn("action_type", F.when(F.col("final"), 0).otherwise(2))
 
 
 def corpus(docs: DataFrame, title: str, items: str) -> DataFrame:
