@@ -28,8 +28,9 @@ from .common import WordTable, slices, text_bytes, word_hashes
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-#: Entries of each of the dictionaries that a Python worker keeps, and units of its table (16 MB); a full one starts anew.
-MOST_KEPT, MOST_UNITS = 150_000, 800_000
+#: Entries of each of the dictionaries that a Python worker keeps, and units of each of its two tables (16 MB); a full one
+#: starts anew, but a full table of units takes the older one's place first, so that frequent units stay.
+MOST_KEPT, MOST_UNITS = 150_000, 700_000
 #: Bytes of text that are encoded at once (up to the end of a unit).
 SEGMENT = 1 << 20
 
@@ -56,7 +57,7 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.most_units, self.slots_log2 = most_units, max(12, (most_units + most_units // 4 - 1).bit_length())
-        self.table = WordTable(self.slots_log2)
+        self.table, self.older = WordTable(self.slots_log2), WordTable(4)
         # pieces that merging never yields are no candidates
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
@@ -177,10 +178,14 @@ class Encoder:
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
             if self.table.n and (self.table.n + len(new) > self.most_units or self.table.n_ids > 8 * self.most_units):
-                self.table = WordTable(self.slots_log2)  # starts anew, with all units of this segment
+                self.older, self.table = self.table, WordTable(self.slots_log2)
                 return self._segment(raw, first)
-            if 2 * len(new) > len(self.table.keys):
+            if 2 * len(new) > len(self.table.keys):  # a segment of so many units is the table's first
                 self.table = WordTable((2 * len(new)).bit_length())
+            was = self.older.find(new)
+            if (was >= 0).any():
+                self.table.add(new[was >= 0], *self.older.ids_at(was[was >= 0]))
+                new, at = new[was < 0], at[was < 0]
             data, at = raw.tobytes(), missing[at]
             ids = [self.unit(data[a:b].decode().replace(" ", SPACE)) for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
             if len(self.kept) >= self.most_kept:
