@@ -28,9 +28,9 @@ from .common import WordTable, slices, text_bytes, word_hashes
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-#: Entries of each of the dictionaries that a Python worker keeps, and units of each of its two tables (16 MB); a full one
+#: Entries of each of the dictionaries that a Python worker keeps, and units of each of its two tables (8 MB); a full one
 #: starts anew, but a full table of units takes the older one's place first, so that frequent units stay.
-MOST_KEPT, MOST_UNITS = 150_000, 700_000
+MOST_KEPT, MOST_UNITS = 80_000, 300_000
 #: Bytes of text that are encoded at once (up to the end of a unit).
 SEGMENT = 1 << 20
 
