@@ -2,11 +2,13 @@
 
 Events: (run_id, event_id, relation, subject, object, position, window_index).  In a run, a fact of the binding
 relation binds its object; a fact of the attribute relation whose subject is bound is DIRECT, else it waits and is
-PROMOTED with its distance in windows as soon as its subject is bound.  Repeated event ids count once.
+PROMOTED with its distance in windows as soon as its subject is bound.  Repeated event ids count once.  A null object
+binds nothing, a fact with a null subject never attaches, and a null value is kept.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,25 +28,25 @@ def attach(events: DataFrame, binding: str, attribute: str) -> DataFrame:
         known, where = set(seen), dict(zip(bound, windows, strict=True))
         held: dict[str, list[tuple]] = {}
         for w in waiting:
-            event, subject, value, window = w.split("\x1f")
-            held.setdefault(subject, []).append((event, value, int(window)))
+            event, subject, value, window = json.loads(w)
+            held.setdefault(subject, []).append((event, value, window))
         rows = pd.concat(list(batches)).sort_values(["position", "event_id"])
         out = []
         for e in rows.itertuples():
             if e.event_id in known:
                 continue
             known.add(e.event_id)
-            if e.relation == binding and e.object not in where:
+            if e.relation == binding and pd.notna(e.object) and e.object not in where:
                 where[e.object] = int(e.window_index)
                 for event, value, window in held.pop(e.object, ()):
                     gap = int(e.window_index) - window
                     out.append((key[0], event, e.object, value, "PROMOTED" if gap > 0 else "DIRECT", max(gap, 0)))
-            elif e.relation == attribute:
+            elif e.relation == attribute and pd.notna(e.subject):
                 if e.subject in where:
                     out.append((key[0], e.event_id, e.subject, e.object, "DIRECT", 0))
                 else:
-                    held.setdefault(e.subject, []).append((e.event_id, e.object, int(e.window_index)))
-        state.update((list(known), list(where), list(where.values()), ["\x1f".join((event, s, v, str(w))) for s, xs in held.items() for event, v, w in xs]))
+                    held.setdefault(e.subject, []).append((e.event_id, e.object if pd.notna(e.object) else None, int(e.window_index)))
+        state.update((list(known), list(where), list(where.values()), [json.dumps((event, s, v, w)) for s, xs in held.items() for event, v, w in xs]))
         yield pd.DataFrame(out, columns=["run_id", "event_id", "subject", "object", "status", "distance"])
 
     return events.groupBy("run_id").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
