@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -89,6 +89,22 @@ def drop_stored(df: DataFrame) -> None:
                 break
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's number (from 1) in the given order, which should tell any two rows apart.
+
+    Rows are sorted by ranges, and a range's rows come after those of the ranges before it: one sum a range meets in one
+    place, nothing else.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place, part, before = fresh((*df.columns, name), "place", "part", "before")
+    rows = (1 << 33) - 1  # what monotonically_increasing_id leaves for the rows of a partition
+    placed = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), "ranks")
+    parts = placed.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count(F.lit(1)).alias(before))
+    sums = F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn(part, F.shiftright(place, 33)).join(F.broadcast(parts.select(part, sums.alias(before))), part)
+    return placed.withColumn(name, F.col(before) + F.col(place).bitwiseAND(rows) + 1).drop(place, part, before)
+
+
 # --- texts in Arrow batches -------------------------------------------------------------------
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most most_bytes of text each (one row at least), so that memory is bounded."""
@@ -149,12 +165,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of every word `[^\\x20\\x09-\\x0D]+` of the texts laid end to end."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of every word of the texts laid end to end: `[^\\x20\\x09-\\x0D]+`, or runs of the bytes marked in `word`."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SPACES[raw]
+    if word is None:
+        word = ~SPACES[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[1:-1]
