@@ -150,7 +150,7 @@ _NATION_EDGES = "SELECT n_nationkey::BIGINT AS a, 1000 + n_regionkey::BIGINT AS
 
 @query("plan_components", "SELECT n_nationkey::BIGINT AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS component FROM nation UNION ALL SELECT 1000 + n_regionkey::BIGINT, min(n_nationkey)::BIGINT FROM nation GROUP BY n_regionkey")
 def _(t):
-    return graph.components(t("nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.lit(1000) + F.col("n_regionkey")).cast("long").alias("b")), "a", "b", 4)
+    return graph.components(t("nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.lit(1000) + F.col("n_regionkey")).cast("long").alias("b")), "a", "b")
 
 
 @query("terminal_objects", "SELECT DISTINCT 'customer:' || o_custkey AS object FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")

@@ -254,8 +254,8 @@ _LINES = """l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS
 )
 def _(t):
     docs = t("documents")
-    place = stream.positions(stream.sentences(docs, F.col("source"), F.col("doc_id"), F.array("text"), F.col("doc_id"))).select("sample_id", F.concat_ws(":", "sample_id", "document_id").alias("source_ref"), "document_id")
-    rows = place.where("document_id % 50 <> 7").withColumn("stream_position", F.row_number().over(_by("sample_id", "document_id")) - 1)
+    place = stream.positions(stream.sentences(docs, F.col("source"), F.col("doc_id"), F.array("text"), F.col("doc_id"))).select("sample_id", F.concat_ws(":", "sample_id", "document_id").alias("source_ref"), "doc_rank")
+    rows = place.where("doc_rank % 50 <> 7").withColumn("stream_position", F.row_number().over(_by("sample_id", "doc_rank")) - 1)
     reads = docs.select(F.col("source").alias("sample_id"), F.concat_ws(":", "source", "doc_id", F.when(F.col("doc_id") % 50 == 7, "x")).alias("source_ref"), F.lit(20).alias("cursor"))
     return stream.prefix_violations(rows, reads)
 

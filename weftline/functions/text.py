@@ -51,8 +51,9 @@ def mentions(text: Column, phrase: str) -> Column:
 
 
 def entity_key(c: Column) -> Column:
-    """Entity without a parenthesis at its end, punctuation as spaces."""
-    bare = F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")
+    """Entity without the quotes around it and a parenthesis at its end, punctuation as spaces."""
+    unquoted = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"^[\"']+|[\"']+$", "")
+    bare = F.regexp_replace(unquoted, r"\s*\([^()]*\)\s*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"(?U)[^\w\s]", " "), r"\s+", " "))
 
 
@@ -216,8 +217,15 @@ def token_template(before: Column, *parts: Column) -> Column:
     return F.concat(before, *parts)
 
 
+# What a name's key loses, and the weights of shared words in an alias's and an anchor's score.
+_QUOTES, _PARENTHESIS, _NO_WORD = "\"'", r"\s*\([^)]*\)\s*$", r"[^\w]+"
+ALIAS_WORDS, ANCHOR_WORDS, ANCHOR_LEAST, ANCHOR_MORE_WORDS = 0.5, 0.35, 0.35, 4
+
+
 def _key(s: str) -> str:
-    return " ".join(re.sub(r"[^\w\s]", " ", re.sub(r"\s*\([^()]*\)\s*$", "", s).casefold()).split())
+    """A name without the quotes around it, a parenthesis at its end, case and signs."""
+    bare = re.sub(_PARENTHESIS, "", s.strip().strip(_QUOTES))
+    return " ".join(re.sub(_NO_WORD, " ", bare.casefold()).split())
 
 
 @F.pandas_udf(DoubleType())
@@ -229,7 +237,7 @@ def alias_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
             return None
         x, y = _key(x), _key(y)
         p, q = set(x.split()), set(y.split())
-        return SequenceMatcher(None, x, y).ratio() + 0.5 * len(p & q) / max(1, min(len(p), len(q)))
+        return SequenceMatcher(None, x, y).ratio() + ALIAS_WORDS * len(p & q) / max(1, min(len(p), len(q)))
 
     return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -247,15 +255,15 @@ def question_anchor_udf(value: pd.Series, question: pd.Series) -> pd.Series:
         spans, target = [m.span() for m in re.finditer(r"\w+(?:['’-]\w+)*", q)], _key(v)
         mine, matcher, found = set(target.split()), SequenceMatcher(None, "", ""), (0.0, 0, None)
         for i in range(len(spans)):
-            for j in range(i, min(len(spans), i + max(1, len(mine) + 4))):
+            for j in range(i, min(len(spans), i + max(1, len(mine) + ANCHOR_MORE_WORDS))):
                 phrase = q[spans[i][0] : spans[j][1]]
                 key = _key(phrase)
                 matcher.set_seqs(target, key)
                 theirs = set(key.split())
-                score = matcher.ratio() + 0.35 * len(mine & theirs) / max(1, len(mine | theirs))
+                score = matcher.ratio() + ANCHOR_WORDS * len(mine & theirs) / max(1, len(mine | theirs))
                 if (score, len(phrase)) > found[:2]:
                     found = (score, len(phrase), phrase)
-        return found[2] if found[0] >= 0.35 else None
+        return found[2] if found[0] >= ANCHOR_LEAST else None
 
     return pd.Series([best(v, q) for v, q in zip(value, question, strict=True)], dtype=object)
 

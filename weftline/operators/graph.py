@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.model import Pattern, is_variable
+from ..tables import drop, stored
 
 
 def matching(facts: DataFrame, pattern: Pattern) -> DataFrame:
@@ -104,19 +105,26 @@ def deferred_matches(waiting: DataFrame, needs: DataFrame) -> DataFrame:
     return keyed.join(asked, ["r", "side", "k"]).groupBy("claim_id", "variable").agg(F.min("by_title").alias("by_title"))
 
 
-def open_descendants(edges: DataFrame, run: str = "run_id", most: int = 16) -> DataFrame:
+def open_descendants(edges: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, edge_id, open): whether a required edge that isn't SATISFIED or CONFLICTED can be reached from an edge's object.
 
-    edges: (run, edge_id, subject, object, required, state), few a run: `most` bounds the length of a path.  All runs
-    are followed together, one join a step, until no path grows.
+    edges: (run, edge_id, subject, object, required, state).  Paths of any length count, circles too: the pairs of ends with
+    a path between them double their length each round, all runs together, until a round finds no new pair.
     """
-    step = edges.select(run, F.col("subject").alias("at"), F.col("object").alias("to"), F.col("edge_id").alias("via"), (F.col("required") & ~F.col("state").isin("SATISFIED", "CONFLICTED")).alias("open"))
-    from_to = edges.select(run, F.col("edge_id").alias("origin"), F.col("object").alias("at"))
-    reached, here = from_to, from_to
-    for _ in range(most):
-        here = here.join(step, [run, "at"]).where("via <> origin").select(run, "origin", F.col("to").alias("at")).where(F.startswith("at", F.lit("?"))).distinct()
-        reached = reached.unionByName(here)
-    hit = reached.distinct().join(step, [run, "at"]).where("via <> origin").groupBy(run, F.col("origin").alias("edge_id")).agg(F.max("open").alias("open"))
+    ends = edges.select(run, F.col("subject").alias("a"), F.col("object").alias("b"))
+    pairs = stored(ends.where(F.startswith("b", F.lit("?"))).distinct(), "paths")
+    while True:
+        longer = pairs.join(pairs.select(run, F.col("a").alias("b"), F.col("b").alias("c")), [run, "b"]).select(run, "a", F.col("c").alias("b")).distinct()
+        new = stored(longer.join(pairs, [run, "a", "b"], "left_anti"), "paths")
+        if new.isEmpty():
+            drop(new)
+            break
+        before, pairs = (pairs, new), stored(pairs.unionByName(new), "paths")
+        drop(*before)
+    here = edges.select(run, F.col("edge_id").alias("origin"), F.col("object").alias("at"))
+    reached = here.unionByName(here.join(pairs.withColumnRenamed("a", "at"), [run, "at"]).select(run, "origin", F.col("b").alias("at"))).distinct()
+    unfinished = edges.where(F.col("required") & ~F.col("state").isin("SATISFIED", "CONFLICTED")).select(run, F.col("subject").alias("at"), F.col("edge_id").alias("via"))
+    hit = reached.join(unfinished, [run, "at"]).where("via <> origin").select(run, F.col("origin").alias("edge_id")).distinct().withColumn("open", F.lit(True))
     return edges.select(run, "edge_id").join(hit, [run, "edge_id"], "left").select(run, "edge_id", F.coalesce("open", F.lit(False)).alias("open"))
 
 
@@ -177,21 +185,22 @@ def evidence_pack(bound: DataFrame, run: str, answer: str, patterns: Sequence[Pa
     return bound.select(run, F.col(answer).alias("answer"), F.create_map(*pairs).alias("support"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) by the smallest reachable id: labels spread over the edges until none changes.
 
-    For plans and other graphs of small diameter; rounds bounds the diameter, and a longer one raises.
+    For plans and other graphs of small diameter, whose rounds they are.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().persist()
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")).select("node", "component")
-    for _ in range(rounds):
+    both = stored(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")).select("node", "component"), "labels")
+    while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("c"))
-        following = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved")).persist()
-        labels, moved = following.select("node", "component"), following.where("moved").take(1)
+        following = stored(labels.join(near, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved")), "labels")
+        moved = not following.where("moved").isEmpty()
+        drop(labels)
+        labels = following
         if not moved:
-            return labels
-    raise ValueError(f"a component is wider than {rounds}")
+            return labels.select("node", "component")
 
 
 def terminal_objects(patterns: DataFrame) -> DataFrame:
