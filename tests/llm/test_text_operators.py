@@ -53,6 +53,12 @@ def test_url_filter(spark):
     assert rows(url_filter.filter_urls(df.limit(0))) == []
 
 
+def test_token_folder_is_the_default_file_systems(spark):
+    from weftline.llm.common import qualified
+
+    assert qualified(spark, "/some/folder") == "file:///some/folder" and qualified(spark, "file:/a/b") == "file:///a/b"
+
+
 def test_url_rules_within_segments():
     trie = url_filter.Trie([("block", "a.b/pri"), ("allow", "a.b/private/x"), ("block", "b/"), ("allow", "b/"), ("allow", "b")])
     assert trie.longest("a.b", "/prix")[1] == "a.b/pri"
@@ -62,6 +68,15 @@ def test_url_rules_within_segments():
     assert trie.longest("bb", "/") is None
 
 
+def test_url_filter_paths_agree_on_odd_hosts(spark):
+    """The trie and the join lower A to Z alone, in rules and in urls."""
+    rules = [("allow", "COM/"), ("block", "Ünder.com/a"), ("block", "ünd.COM/"), ("allow", "SS.de/"), ("block", "ß.de/"), ("block", "İ.tr/x"), ("allow", ".odd./p")]
+    hosts = ["ünder.com", "ÜNDER.com", "Ünder.COM", "a.ünd.com", "ÜND.com", "ss.de", "ß.de", "ẞ.de", "İ.tr", "i̇.tr", "x..odd.", ".odd.", "odd"]
+    df = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p) in enumerate((h, p) for h in hosts for p in ("/a", "/x/y", "/p", ""))], "page_id long, url string")
+    assert rows(url_filter.filter_urls(df, rules)) == rows(url_filter.filter_urls(df, rules, most_trie_nodes=0))
+    assert [r.verdict for r in url_filter.filter_urls(df.where("page_id in (0, 4, 8)"), rules, default="none").orderBy("page_id").collect()] == ["allow", "block", "block"]
+
+
 # --- 2
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 

@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Hadoop resolves one without: workers that open it themselves then reach the same store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

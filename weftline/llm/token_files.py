@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WordTable, shared_dir, slices, stored, text_bytes, word_hashes, word_spans
+from .common import SPACES, WordTable, qualified, shared_dir, slices, stored, text_bytes, word_hashes, word_spans
 
 MAGIC = b"WBP1"
 BLOCK_IDS = 1 << 16
@@ -332,24 +332,20 @@ def _encoder(path: str) -> WordEncoder:
 
 
 # --- writing and reading with Spark -----------------------------------------------------------------
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, block_ids: int = BLOCK_IDS, bits: int = 1) -> DataFrame:
     """Writes every text's ids and end_id in ascending id order; returns the manifest (part, file, docs, ids).
 
-    `folder` is one that all machines reach.  Texts are dealt by ranges of their id before they are encoded, so the
+    `folder` is one that all machines reach; without a scheme it is one of Hadoop's default file system, as for Spark's own tables.  Texts are dealt by ranges of their id before they are encoded, so the
     sampling for the ranges reads the id column alone and nothing is encoded twice.
     """
     cut = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, folder = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), qualified(df.sparkSession, folder)
     ordered = cut.repartitionByRange(n, "id").sortWithinPartitions("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         writer = sink = None
-        system, base = _open(folder)
+        system, base = fs.FileSystem.from_uri(folder)
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.wbp"
         for batch in slices(batches, "text"):
             if writer is None:
@@ -371,10 +367,10 @@ def read_tokens(manifest: DataFrame, folder: str, id_col: str = "doc_id", digest
     # one row a file; the running sum over files is the only thing that is put in one place
     first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("ids").over(first), F.lit(0)).alias("before"))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, folder = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _open(folder)
+        system, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with system.open_input_file(f"{base}/{file}") as source:

@@ -111,14 +111,18 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col:
     return df.select(F.col(id_col), F.col(url_col)).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
+#: The capitals that hosts lose; others, such as Ü, stay as they are.
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def _filter_by_join(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str, url_col: str, default: str) -> DataFrame:
     """The same for rule lists too large to broadcast: distinct urls meet the rules on each suffix of their host."""
     spark = df.sparkSession
     rows = [(*split_rule(r), r, v) for v, r in rules]
-    table = spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, verdict string").withColumn("rule_host", F.lower("rule_host"))
+    table = spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, verdict string").withColumn("rule_host", F.translate("rule_host", _CAPITALS, _CAPITALS.lower()))
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
     host = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit(""))
-    urls = df.select(F.col(url_col).alias("u"), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
+    urls = df.select(F.col(url_col).alias("u"), F.translate(host, _CAPITALS, _CAPITALS.lower()).alias("host"), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     best = (
@@ -127,7 +131,7 @@ def _filter_by_join(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
         .groupBy("u").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict") == "block")).alias("best"))
     )
     out = df.select(F.col(id_col), F.col(url_col).alias("u")).join(best, "u", "left")
-    host_path = [F.coalesce(F.translate(F.regexp_extract(F.expr("if(instr(u, '://') > 0, substring(u, instr(u, '://') + 3), '')"), r"^([^/?#]*)([^?#]*)", i), *case), F.lit("")).alias(n) for i, n, case in ((1, "host", ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), (2, "path", ("", "")))]
+    host_path = [F.coalesce(F.translate(F.regexp_extract(F.expr("if(instr(u, '://') > 0, substring(u, instr(u, '://') + 3), '')"), r"^([^/?#]*)([^?#]*)", i), *case), F.lit("")).alias(n) for i, n, case in ((1, "host", (_CAPITALS, _CAPITALS.lower())), (2, "path", ("", "")))]
     return out.select(id_col, *host_path, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
