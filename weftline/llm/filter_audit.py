@@ -45,12 +45,13 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): how many documents of each part fail just the filters of the mask.
 
     Copies are known by the sha-256 of their text.  The join with the smallest id of each text that several rows hold has many
-    rows of one key where a text has many copies; they stand on one side of it only, so it can be split.
+    rows of one key where a text has many copies; they stand on one side of it only, and the other side is a stored table
+    (no aggregate that needs a key's rows together), so the engine can split it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     seen = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), failed(text).alias("own"))
     seen = stored(seen, "masks")
-    first = seen.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
+    first = stored(seen.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first"), "firsts")
     marked = seen.join(first, "digest", "left").select("id", "part", (F.col("own") + F.when(F.col("id") > F.col("first"), 16).otherwise(0)).alias("mask"))
     says = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     counted = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0)).alias(c)
