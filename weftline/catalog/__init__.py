@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import batches, claims, graphs, runs, scores, streams, texts  # noqa: E402,F401
+from . import batches, claims, gold, graphs, runs, scores, streams, texts  # noqa: E402,F401
