@@ -94,9 +94,9 @@ def _(t):
     return stream.document_context(m, m.where("sentence_id = 0"))
 
 
-_PHRASES = "asked AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS phrase FROM benchmark)"
+_PHRASES = "asked AS (SELECT DISTINCT trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '\\s+', ' ', 'g')) AS phrase FROM benchmark)"
 _HITS = f"""{_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY doc_rank, sentence_id) - 1 AS p FROM refs), {_PHRASES},
-hits AS (SELECT phrase, source_ref, row_number() OVER (PARTITION BY phrase ORDER BY sample_id, p) AS place FROM m JOIN asked ON contains(lower(text), phrase))"""
+hits AS (SELECT phrase, source_ref, row_number() OVER (PARTITION BY phrase ORDER BY sample_id, p) AS place FROM m JOIN asked ON contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), phrase))"""
 
 
 def _phrases(t):

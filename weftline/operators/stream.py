@@ -132,25 +132,39 @@ def document_context(manifest: DataFrame, refs: DataFrame) -> DataFrame:
     return at.join(manifest.select("sample_id", "document_id", "source_ref"), ["sample_id", "document_id"]).select("anchor", "source_ref")
 
 
-def mention_search(manifest: DataFrame, phrases: DataFrame, limit: int) -> DataFrame:
-    """(phrase, source_ref, place) of the first sentences that hold a phrase, by sample and position.
+def folded(c: Column) -> Column:
+    """Lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+def mention_hits(manifest: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, sample_id, source_ref, stream_position) of every sentence that holds a phrase, or whose document's title it is.
 
-    A phrase that a text holds has its first word at one of the text's words' ends, so phrases meet texts on the
-    three last characters of that word (or as many as it has), and only those pairs are compared.  Phrases of one word
-    meet texts on three characters anywhere; there may be any number of them.
+    Case and runs of white space don't count; phrases come back folded.  Titles (a column `title`, if there is one) meet phrases
+    by an equi-join.  A phrase that a text holds has its first word at one of the text's words' ends, so phrases meet texts on the
+    three last characters of that word (or as many as it has); phrases of one word, which may stand inside a word, meet
+    texts on three characters anywhere.  Keys travel with the sentence's place alone; the text is fetched for the pairs
+    that met, and compared.
     """
-    first = lambda c: F.element_at(F.split(F.lower(F.trim(c)), r"\s+"), 1)
-    tail = lambda w: F.right(w, F.lit(3))
-    asked = phrases.select(F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''").distinct().withColumn("alone", ~F.col("phrase").rlike(r"\s"))
-    within = asked.where("not alone").withColumn("key", tail(first(F.col("phrase"))))
-    texts = manifest.select("sample_id", "source_ref", "stream_position", F.lower("text").alias("low"))
-    keyed = texts.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(F.split("low", r"\s+"), lambda w: F.array(*[F.right(w, F.lit(k)) for k in (1, 2, 3)]))))))
-    hits = keyed.join(within, "key").where(F.contains("low", "phrase"))
-    # a phrase of one word may stand inside a word: the key is its three first characters (or as many as it has)
-    alone = asked.where("alone").withColumn("key", F.substring("phrase", 1, 3))
-    grams = lambda k: F.when(F.length("low") >= k, F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.array_join(F.slice("chars", i, k), ""))).otherwise(F.expr("cast(array() as array<string>)"))
-    spelt = texts.withColumn("chars", F.split("low", "")).withColumn("key", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3))))).drop("chars")
-    single = spelt.join(alone, "key").where(F.contains("low", "phrase"))
-    all_hits = hits.select("phrase", "sample_id", "source_ref", "stream_position").unionByName(single.select("phrase", "sample_id", "source_ref", "stream_position")).distinct()
+    first = lambda c: F.element_at(F.split(c, " "), 1)
+    asked = phrases.select(folded(F.col("phrase")).alias("phrase")).where("phrase <> ''").distinct().withColumn("alone", ~F.contains("phrase", F.lit(" ")))
+    place = ["sample_id", "source_ref", "stream_position"]
+    texts = manifest.select(*place, folded(F.col("text")).alias("low"))
+    ends = F.array_distinct(F.flatten(F.transform(F.split("low", " "), lambda w: F.array(*[F.right(w, F.lit(k)) for k in (1, 2, 3)]))))
+    within = asked.where("not alone").select("phrase", F.right(first(F.col("phrase")), F.lit(3)).alias("key"))
+    pairs = texts.select(*place, F.explode(ends).alias("key")).join(within, "key").select(*place, "phrase")
+    alone = asked.where("alone").select("phrase", F.substring("phrase", 1, 3).alias("key"))
+    if not alone.isEmpty():
+        grams = lambda k: F.when(F.length("low") >= k, F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.array_join(F.slice("chars", i, k), ""))).otherwise(F.expr("cast(array() as array<string>)"))
+        spelt = texts.withColumn("chars", F.split("low", "")).select(*place, F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("key"))
+        pairs = pairs.unionByName(spelt.join(alone, "key").select(*place, "phrase"))
+    found = pairs.join(texts, place).where(F.contains("low", "phrase")).select("phrase", *place)
+    if "title" in manifest.columns:
+        found = found.unionByName(manifest.select(*place, folded(F.col("title")).alias("phrase")).join(asked.select("phrase"), "phrase").select("phrase", *place))
+    return found.distinct()
+
+
+def mention_search(manifest: DataFrame, phrases: DataFrame, limit: int) -> DataFrame:
+    """(phrase, source_ref, place) of the first `limit` sentences that hold a phrase or stand under it as their title, by sample and position."""
     place = F.row_number().over(Window.partitionBy("phrase").orderBy("sample_id", "stream_position"))
-    return all_hits.withColumn("place", place).where(F.col("place") <= limit).select("phrase", "source_ref", "place")
+    return mention_hits(manifest, phrases).withColumn("place", place).where(F.col("place") <= limit).select("phrase", "source_ref", "place")
