@@ -223,3 +223,12 @@ def test_collisions_like_counting_all():
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if tile[i] == tile[j] and (np.abs(values[i] - values[j]) <= 0.9).sum() >= 4}
     got = [tuple(sorted(p)) for i, j in vector_links.collisions(tile, values, 0.9, 4, most=50) for p in zip(i.tolist(), j.tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_a_class_name_alone_deletes_no_article(spark):
+    """A body whose classes also name furniture is the neighbour's to judge: what both pages have goes, what outweighs the teaser stays."""
+    page = lambda own: f"<main><p>short teaser</p></main><div class='ad-free promo-notice article-body'><p>Read our terms here</p><p>{own}</p></div><div class='comments'><p>{own} {own} said a reader</p></div>"
+    bodies = [" ".join(f"w{(k * 7 + i * i) % 97}" for i in range(30)) for k in range(3)]
+    df = spark.createDataFrame([(k, f"http://h.org/a/{k}", page(b)) for k, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert got == {k: f"short teaser\n\n{b}" for k, b in enumerate(bodies)}

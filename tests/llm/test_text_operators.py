@@ -396,3 +396,19 @@ def test_very_long_texts(spark):
     codec = sentencepiece_codec.Encoder(MODEL)
     text = "word\n\nand  more " * 300_000 + "q" * 3000
     assert codec.encode_column(pa.array([text]))[1].tolist() == codec.sp.encode(text)
+
+
+def test_dates_are_no_secrets_and_words_lead_to_values(spark):
+    """Seeds by cue teach a shape, the shape a bare word, the word values of other shapes; dates and versions stay."""
+    rows = [(k, f"secret: 2024-01-{k + 10}") for k in range(15)] + [(50 + k, f"token 1.{k}.30 and password = 12:3{k % 10} or passwd: 3/{k + 1}/2021") for k in range(9)]
+    rows += [(100 + k, f"employee id: EMP{73310 + 17 * k} was here") for k in range(8)] + [(200 + k, f"show the badge EMP{73310 + 17 * k} at once") for k in range(8)] + [(300 + k, f"a badge XQ{k}77{k}A4 was lost") for k in range(2)]
+    rows += [(400 + k, f"account number: {7340000 + 977 * k}") for k in range(8)] + [(500 + k, f"his mrn {7340000 + 977 * k} now") for k in range(8)] + [(600, "their mrn 5512345 now"), (601, "about 5512399 people")]
+    rows += [(700 + k, f"order {88000000 + k} of part {99000 + k}") for k in range(20)] + [(800, "ssn is 123-45-6789")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {}
+    for r in personal_data.find(df).collect():
+        got[r.doc_id] = [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "secret"]
+    assert not any(got.get(k) for k in range(100)) and not any(v for k, v in got.items() if 700 <= k < 800) and got[601] == []
+    assert all(got[200 + k] == [f"EMP{73310 + 17 * k}"] for k in range(8)) and all(got[500 + k] == [f"{7340000 + 977 * k}"] for k in range(8))
+    assert got[300] == ["XQ0770A4"] and got[600] == ["5512345"] and got[800] == ["123-45-6789"]

@@ -49,6 +49,8 @@ _NAMED = re.compile(
     r"social|share|sharing|breadcrumb|breadcrumbs|pagination|pager|related|recommended|widget|toolbar|search|login|signup|skip|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Class names of a page's text.  An element that has one and a name of furniture too is neither: the neighbouring page decides.
+_BODY = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|page|main|body)[_-]?(?:body|content|text)|articlebody)(?:$|\s)", re.I)
 _SPACE = re.compile(r"[\s ]+")
 
 
@@ -61,7 +63,8 @@ def _off(name: str, attrs: str, in_article: bool) -> bool:
     found = {m[1].lower(): html_lib.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES:
         return True
-    return any(_NAMED.search(found[k]) for k in ("class", "id") if found.get(k))
+    names = [found[k] for k in ("class", "id") if found.get(k)]
+    return any(map(_NAMED.search, names)) and not any(map(_BODY.search, names))
 
 
 #: Where a line stands: within article or main, outside them, in an element that markup names as furniture.

@@ -3,12 +3,13 @@
 One pass over the texts finds the base spans and the candidates: tokens with a digit, and any value after a key and `=`
 or `:`.  Each has lexical contexts: the cue before it (the one or two words before `=`, `:`, `#`, "is", "number", ...,
 with the kinds of characters that follow), its shape (runs of digits and letters with their lengths), its prefix, its
-kind after a key; a card or phone that runs on into other numbers, so that the base pattern drops it, has its form.
+kind after a key, the word right before it and its kind; a card or phone that runs on into other numbers, so that the base
+pattern drops it, has its form.  Dates, times of day and version numbers are no candidates, whatever stands before them.
 Known from the start are base spans after a cue, tokens of seed formats, and values with a digit after
 a seed cue.
 
 Spark then scores the graph of contexts and instances in turns: a context is as good as the share of its distinct
-instances that are known, if enough are; an instance of a good context becomes known and counts for its other contexts,
+instances that are known, if enough are (a bare word before a value needs a larger share of more instances); an instance of a good context becomes known and counts for its other contexts,
 so that a cue leads to a shape, the shape to other cues, and those to other shapes, until no context is added.  Good
 contexts mark all of their instances as `secret`; a seed is one wherever it stands.
 
@@ -48,6 +49,11 @@ _CUE = re.compile(
 )
 #: Any value after a key: groups of digits, or what has no space, quote, bracket or delimiter.
 _VALUE = re.compile(r"[=:][\x20\t]?[\"']?([0-9]++(?:[\x20().-]{1,2}[0-9]++)*+(?![A-Za-z0-9_])|[^\s\"'<>,;()\[\]{}&=:]++)")
+#: What is no identifier: dates, times, version numbers.
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:1[0-9]|2[01])[0-9]{2}"
+_PLAIN = re.compile(
+    rf"(?:{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}|{_DAY}[-/.]{_MONTH}[-/.](?:{_YEAR}|[0-9]{{2}})|{_MONTH}[-/.]{_DAY}[-/.](?:{_YEAR}|[0-9]{{2}}))(?:[T ][0-9]{{2}}:?[0-9]{{2}}.*)?|[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?|[vV]?[0-9]{{1,4}}(?:\.[0-9]{{1,5}}){{1,3}}(?:[-+][A-Za-z0-9]{{1,8}})?"
+)
 _LAST_WORD = re.compile(r"([A-Za-z][A-Za-z-]{1,30})[\x20\t]\Z")
 #: Seed formats (fixed values, public formats): access key ids; 40 hexadecimal digits after a key that names no digest.
 SEEDS = (re.compile(r"AKIA[0-9A-Z]{16}"), re.compile(r"[0-9a-f]{40}"))
@@ -171,7 +177,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     for m in _TOKEN.finditer(text) if _LIKELY.search(text) else ():
         start, token = m.start(), m[0].rstrip("_+/-")
         end = start + len(token)
-        if len(token) < 6 or not free(start, end):
+        if len(token) < 6 or _PLAIN.fullmatch(token) or not free(start, end):
             continue
         found, assigned = cues(text, start)
         kind, runs = kind_of(token), shape(token)
@@ -183,6 +189,8 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         if len(token) >= 12 and kind not in ("9", "9-"):
             contexts.append(f"prefix {token[:4]} {kind} {len(token)}")
         word = _LAST_WORD.search(text, max(0, start - 32), start)
+        if word is not None:
+            contexts.append(f"{PROSE}{word[1].lower()} {kind}")
         seed = SEEDS[0].fullmatch(token) is not None or not SEED_CUES.isdisjoint(found) or word is not None and word[1].lower() in SEED_CUES
         seed |= assigned and SEEDS[1].fullmatch(token) is not None and DIGEST_CUES.isdisjoint(found)
         if contexts or seed:
@@ -191,7 +199,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     free = _Free(sorted(busy))
     for m in _VALUE.finditer(text):
         start, value = m.start(1), m[1].rstrip(".!?")
-        if not any(c.isalnum() for c in value) or not free(start, start + len(value)):
+        if not any(c.isalnum() for c in value) or _PLAIN.fullmatch(value) or not free(start, start + len(value)):
             continue
         found, assigned = cues(text, start)
         if assigned:
@@ -236,9 +244,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "scan")
 
 
-def bootstrap(found: DataFrame, min_share: float = 0.5, min_known: int = 3) -> DataFrame:
+#: Contexts of a bare word begin with this.
+PROSE = "word "
+
+
+def bootstrap(found: DataFrame, min_share: float = 0.5, min_known: int = 3, prose_share: float = 0.8, prose_known: int = 5) -> DataFrame:
     """(context, share, known): the contexts that end above the thresholds.  Counts are of distinct instances.
 
+    Contexts of a bare word have thresholds of their own.
     Rounds go on until the contexts above the thresholds stay the same: as what is known only grows, so do they.
     """
     edges = stored(
@@ -250,7 +263,9 @@ def bootstrap(found: DataFrame, min_share: float = 0.5, min_known: int = 3) -> D
     while True:
         held = edges.join(known.withColumn("is_known", F.lit(True)), "instance", "left")
         scores = held.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("is_known").alias("known")).select("context", (F.col("known") / F.col("n")).alias("share"), "known")
-        good = stored(scores.where((F.col("share") >= min_share) & (F.col("known") >= min_known)), "good")
+        prose = F.startswith("context", F.lit(PROSE))
+        enough = (F.col("share") >= F.when(prose, prose_share).otherwise(min_share)) & (F.col("known") >= F.when(prose, prose_known).otherwise(min_known))
+        good = stored(scores.where(enough), "good")
         n = good.count()
         if last is not None:
             drop_stored(last)
