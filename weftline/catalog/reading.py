@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import frontier, memory, stream
+from ..sources import objects
+from ..tables import new_path, stored
 from . import query
 from .streams import _LINES, _PHRASES, _phrases, manifest
 
@@ -109,3 +111,25 @@ def _(t):
     """Each turn asks for the most alike of its conversation's earlier ones."""
     turns = t("conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), "text")
     return memory.recall_earlier(turns, turns.withColumnRenamed("text", "query"), 0.05).withColumn("score", F.round("score", 9))
+
+
+@query("json_array_scan", """SELECT c_custkey, c_name || ' }"{[\\\\' || chr(10) || c_mktsegment AS name, c_acctbal, 3 AS n FROM customer""".replace("\\\\", "\\"))
+def _(t):
+    """Customers written as JSON objects side by side, with braces, quotes and escapes in strings, and scanned in ranges of 16 KB."""
+    c = t("customer")
+    spark = c.sparkSession
+    name = F.concat("c_name", F.lit(' }"{[\\\n'), "c_mktsegment")
+    nested = F.struct(F.col("c_custkey"), name.alias("name"), F.struct(F.col("c_acctbal"), F.array(F.lit("]"), F.lit("}"), F.lit("")).alias("list")).alias("inner"))
+    path = new_path(spark, "json")
+    c.select(F.to_json(nested).alias("value")).write.option("lineSep", ",").text(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = objects.json_objects(spark, path, 0)
+        shape = "c_custkey long, name string, inner struct<c_acctbal:double,list:array<string>>"
+        rows = found.select(F.from_json("value", shape).alias("v")).select("v.c_custkey", "v.name", "v.inner.c_acctbal", F.size("v.inner.list").alias("n"))
+        return stored(rows, "objects")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -32,6 +32,27 @@ def _(t):
     return metrics.bootstrap(t("lineitem"), "l_returnflag", "l_quantity", 4)
 
 
+_U = "('0x' || substr(md5('42:' || o_orderkey || ':' || d), 1, 8))::UBIGINT / 4294967296.0"
+_WEIGHT = " + ".join(f"(u >= {p!r})::INTEGER" for p in metrics.POISSON_1)
+
+
+@query(
+    "poisson_bootstrap",
+    f"""WITH u AS (SELECT o_orderstatus, o_totalprice AS v, o_custkey AS c, d, {_U} AS u FROM orders, range(40) r(d)), w AS (SELECT *, {_WEIGHT} AS w FROM u),
+per AS (SELECT o_orderstatus, d, sum(v * w) / sum(w) AS mean, max(v) AS best, min(v) AS worst, sum(w) FILTER (c % 2 = 0) / sum(w) AS even FROM w WHERE w > 0 GROUP BY 1, 2)
+SELECT o_orderstatus, {', '.join(f"round(avg({n}), 4) AS {n}_mean, round(stddev_pop({n}), 4) AS {n}_std" for n in ('mean', 'best', 'worst', 'even'))} FROM per GROUP BY 1""",
+)
+def _(t):
+    rows = t("orders")
+    pair = F.struct(F.col("o_totalprice").alias("v"), (F.col("o_custkey") % 2 == 0).alias("even"))
+    reducers = {
+        "mean": lambda x, w: F.sum(x["v"] * w) / F.sum(w), "best": lambda x, w: F.max(x["v"]), "worst": lambda x, w: F.min(x["v"]),
+        "even": lambda x, w: F.sum(F.when(x["even"], w)) / F.sum(w),
+    }
+    got = metrics.poisson_bootstrap(rows, ["o_orderstatus"], F.col("o_orderkey"), pair, reducers, 40)
+    return got.select("o_orderstatus", *[F.round(c, 4).alias(c) for c in got.columns[1:]])
+
+
 @query("best_of_gold", "SELECT l_orderkey, first(l_partkey ORDER BY l_quantity DESC, l_linenumber, l_partkey DESC) AS part, max(l_quantity) AS f1 FROM lineitem GROUP BY 1")
 def _(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_quantity", -F.col("l_linenumber"), "l_partkey")).alias("part"), F.max("l_quantity").alias("f1"))

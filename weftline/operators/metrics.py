@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,30 @@ def bootstrap(df: DataFrame, group: str, value: str, n: int, draws: int = 1000,
     return df.select(group, value).groupBy(group).applyInPandas(run, f"`{group}` {df.schema[group].dataType.simpleString()}, best double, worst double, maj double")
 
 
+# The Poisson distribution function of mean 1 at 0, 1, 2, ... (the tail beyond 9 is 10).
+POISSON_1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217)
+
+
+def poisson_weight(row: Column, draw: Column, seed: int) -> Column:
+    """How often a row is in a resample: Poisson of mean 1, from the md5 of seed, row and draw (alike on every engine and attempt)."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_1), F.lit(0))
+
+
+def poisson_bootstrap(df: DataFrame, group: Sequence[str], row: Column, value: Column, reducers: Mapping[str, Callable[[Column, Column], Column]], draws: int = 100, seed: int = 42) -> DataFrame:
+    """(group, and for each reducer name_mean, name_std): means and deviations over resamples of whole groups.
+
+    A reducer takes (value, weight) and gives an aggregate, such as F.sum(v * w) / F.sum(w).  Each row has a Poisson weight in
+    each draw instead of being drawn, so a resample is an aggregate like any other: it is summed up where the rows are,
+    and what is shuffled is a row for each task, group and draw.  Reducers that aren't sums work too, if they leave weight 0 out.
+    The deviation of a mean is by (n - 1) / n in its square below that of n draws with replacement, on average.
+    """
+    weighed = df.select(*group, value.alias("_v"), row.alias("_row")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    weighed = weighed.withColumn("_w", poisson_weight(F.col("_row"), F.col("_draw"), seed)).where("_w > 0")
+    per = weighed.groupBy(*group, "_draw").agg(*[make(F.col("_v"), F.col("_w")).alias(name) for name, make in reducers.items()])
+    return per.groupBy(*group).agg(*[f(name).alias(f"{name}_{end}") for name in reducers for end, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def verifier_counts(events: DataFrame, gold: DataFrame, group: str) -> DataFrame:
     """(group, tp, fp, fn, tn) of each claim's last decision; gold: claims that are right."""
     last = events.groupBy(group, "claim_id").agg(F.max_by("status", "event_seq").alias("status"))
