@@ -117,6 +117,17 @@ def competition_score(solution: Column, truth: Column, strict_box: bool = False)
     return F.when(found == (truth if strict_box else final_answer(truth)), 1.0).otherwise(-1.0)
 
 
+# How much of a geometry score is the answer and how much the form; the form.
+ANSWER_SHARE, FORM_SHARE = 0.9, 0.1
+GEOMETRY_FORM = r"(?s)\A<think>.*</think>.*\\boxed\{.*\}.*\z"
+
+
+def geometry_score(solution: Column, truth: Column) -> Column:
+    """0.9 for the boxed answer, 0.1 for thoughts in <think> tags before a box."""
+    right = F.coalesce(same_latex(boxed(solution), truth), F.lit(False)).cast("double")
+    return ANSWER_SHARE * right + FORM_SHARE * F.coalesce(solution.rlike(GEOMETRY_FORM), F.lit(False)).cast("double")
+
+
 #: Names of sources that are scored as formulas.
 FORMULA_SOURCES = ("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "AIME", "AMC", "MINERVA", "MATH", "math_dapo")
 
@@ -127,6 +138,7 @@ def by_source(source: Column, solution: Column, truths: Column, metric: str = "e
     out = F.when(source == "openai/gsm8k", number_score(solution, first))
     out = out.when(source.isin(*FORMULA_SOURCES) | F.contains(source, F.lit("MATH")), math_score(solution, first))
     out = out.when(F.startswith(source, F.lit("aime")), competition_score(solution, first)).when(source == "hotpotqa", answer_score(solution, truths, metric))
+    out = out.when(source == "hiyouga/geometry3k", geometry_score(solution, first))
     for name, score in (more or {}).items():
         out = out.when(source == name, score)
     return out.otherwise(F.raise_error(F.concat(F.lit("no scorer for the source "), F.coalesce(source, F.lit("null")))).cast("double"))

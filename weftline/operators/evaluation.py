@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import arrays, text
 
 
 def triple(*parts: Column | str) -> Column:
@@ -51,6 +51,49 @@ def verifier_scores(events: DataFrame, gold: DataFrame, run: str) -> DataFrame:
     return n.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).alias("f1"))
 
 
+def answer_scores(prediction: Column, answers: Column) -> tuple[Column, Column]:
+    """(exact, token F1) of a prediction, each the best over the gold answers; 0 without any."""
+    said = text.spaced_answer(prediction)
+    best = lambda score: F.coalesce(F.array_max(F.transform(answers, score)), F.lit(0.0))
+    exact = best(lambda g: (text.spaced_answer(g) == said).cast("double"))
+    return exact == 1.0, best(lambda g: text.bag_f1(text.words(said), text.words(text.spaced_answer(g))))
+
+
+def score_results(results: DataFrame, events: DataFrame, gold: DataFrame, packs: DataFrame, run: str = "run_id") -> DataFrame:
+    """One row for each result, with all that is measured of its run.
+
+    results: (run, prediction, answers, predicted_refs, gold_refs, status), refs and answers as arrays; events: (run, event_seq,
+    event_type, claim_id, origin, hits, subject, relation, object), hits being how many claims a lookup found; gold and
+    packs: (run, subject, relation, object), the gold triples and those of the evidence pack.  A run without events counts none.
+    """
+    at = F.col("event_type")
+    n = lambda name, c: F.count_if(c).alias(name)
+    counts = events.groupBy(run).agg(
+        n("callback_count", at == "DEFERRED_LOOKUP"), n("_hit", (at == "DEFERRED_LOOKUP") & (F.col("hits") > 0)), n("_deferred", at == "CLAIM_DEFERRED"), n("promoted_count", at == "CLAIM_PROMOTED"),
+        n("deferred_promoted_count", (at == "CLAIM_PROMOTED") & (F.col("origin") == "DEFERRED")), n("cross_window_deferred_promoted_count", at == "CROSS_WINDOW_DEFERRED_PROMOTED"),
+        n("non_early_deferred_promoted_count", at == "NON_EARLY_DEFERRED_PROMOTED"), n("conflict_count", at == "VERIFY_CONFLICT"),
+    )
+    key = triple("subject", "relation", "object")
+    keyed = lambda df: df.select(run, key.alias("key"))
+    named = lambda df, prefix: df.select(run, *[F.col(c).alias(f"{prefix}_{c}") for c in ("precision", "recall", "f1")])
+    runs = results.select(run)
+    parts = (
+        counts, named(set_scores(keyed(packs), keyed(gold), runs, run, "key"), "graph_triple"),
+        named(set_scores(keyed(events.where(at == "TRIPLE_EVENT_PROPOSED")), keyed(gold), runs, run, "key"), "triple_event"),
+        verifier_scores(events, gold, run).withColumnsRenamed({c: f"verifier_{c}" for c in ("candidates", "gold_candidates", "accepted", "tp", "fp", "fn", "precision", "recall", "f1")}),
+    )
+    exact, f1 = answer_scores(F.col("prediction"), F.col("answers"))
+    p, r, f = arrays.set_scores(F.col("predicted_refs"), F.col("gold_refs"))
+    rows = results.select("*", exact.alias("answer_exact"), f1.alias("answer_token_f1"), p.alias("supporting_precision"), r.alias("supporting_recall"), f.alias("supporting_f1"), (F.col("status") == "OK").alias("run_success"))
+    for part in parts:
+        rows = rows.join(part, run, "left")
+    rows = rows.na.fill(0, [c for c, kind in rows.dtypes if kind == "bigint" and c in {*counts.columns, *parts[3].columns} - {run}])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return rows.withColumns({
+        "callback_hit_rate": share("_hit", "callback_count"), "deferred_to_promoted": share("deferred_promoted_count", "_deferred"), "cross_window_deferred_to_promoted": share("cross_window_deferred_promoted_count", "_deferred"),
+    }).drop("_hit", "_deferred")
+
+
 def plan_relation_recall(predicted: DataFrame, oracle: DataFrame, runs: DataFrame, run: str, relation: str) -> DataFrame:
     """(run, recall): the share of the oracle plan's distinct relations that the predicted plan has; null for a run without an oracle plan.
 
