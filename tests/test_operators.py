@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import scores, text
-from weftline.operators import batch, evaluation, graph, stream, synthesis
+from weftline.operators import batch, evaluation, graph, log, stream, synthesis
 from weftline.plans.model import Pattern
 from weftline.sources import records
 
@@ -88,6 +88,12 @@ def test_records(spark, tmp_path):
     assert [r.id for r in records.chosen_samples(rows, "id", "id", start=8, count=5).collect()] == ["8", "9"]
     with pytest.raises(ValueError, match="no such"):
         records.chosen_samples(rows, "id", "id", ["3", "70"])
+    with pytest.raises(ValueError, match="no sample at place 10"):
+        records.chosen_samples(rows, "id", "id", start=10)
+    same = [log.canonical_json(F.lit(x).cast("string")).alias(f"c{k}") for k, x in enumerate( ('{"b": [1, {"z": null, "a": 1.5}], "a": "\\u00e9"}', '{"a":"é","b":[1,{"a":1.5,"z":null}]}', "no json", None))]
+    got = rows.limit(1).select(*same).first()
+    assert got[0] == got[1] == '{"a":"é","b":[1,{"a":1.5,"z":null}]}' and got[2] is got[3] is None
+    assert rows.limit(1).select((log.content_id(F.struct(F.lit(1).alias("b"), F.lit(2).alias("a")).alias("s")) == log.content_id(F.struct(F.lit(2).alias("a"), F.lit(1).alias("b")).alias("s"))).alias("x")).first().x
 
 
 def test_set_scores_of_empty_sets(spark):

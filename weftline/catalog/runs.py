@@ -1,5 +1,6 @@
 """Scores of solutions and runs, log replay, delayed binding and access checks, over the test tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -179,6 +180,20 @@ def _(t):
     return log.replay_edges(rows).withColumn("support", F.array_join("support", ","))
 
 
+@query(
+    "content_ids",
+    """WITH k AS (SELECT event_id, event_type, user_id, event_id % 3 AS v FROM events)
+SELECT event_id, sha256('{"a":' || user_id || ',"m":{"x":[2,1],"z":"' || event_type || '"},"z":"' || v || '"}') AS id, count(*) OVER (PARTITION BY user_id, event_type, v) AS same FROM k""",
+)
+def _(t):
+    """One content in three orders of its fields, nested ones too, and spacings has one id."""
+    v = F.col("event_id") % 3
+    form = F.when(v == 0, '{"z": "%3$s", "a": %1$s, "m": {"z": "%2$s", "x": [2, 1]}}').when(v == 1, '{"m":{"x":[2,1],"z":"%2$s"},"z":"%3$s","a":%1$s}').otherwise('{ "a" : %1$s , "z" : "%3$s" , "m" : { "z" : "%2$s" , "x" : [ 2 , 1 ] } }')
+    spelt = F.replace(F.replace(F.replace(form, F.lit("%1$s"), F.col("user_id").cast("string")), F.lit("%2$s"), F.col("event_type")), F.lit("%3$s"), v.cast("string"))
+    rows = t("events").withColumn("id", F.sha2(log.canonical_json(spelt), 256))
+    return rows.select("event_id", "id", F.count(F.lit(1)).over(Window.partitionBy("id")).alias("same"))
+
+
 # --- graphs
 _SEEN = "(SELECT n_nationkey AS k, n_nationkey * 37 % 50 AS p FROM nation)"
 
@@ -261,8 +276,6 @@ def _(t):
 
 
 def _by(group, order):
-    from pyspark.sql import Window
-
     return Window.partitionBy(group).orderBy(order)
 
 

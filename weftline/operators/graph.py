@@ -5,6 +5,7 @@ facts: (subject, relation, object, source_ref, stream_position, window_index).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,30 +17,44 @@ from ..plans.model import Pattern, is_variable
 from ..tables import drop, stored
 
 
+def keyed(facts: DataFrame) -> DataFrame:
+    """facts with the normalised forms of relation, subject and object, by which spellings count: _r, _s, _o."""
+    if "_r" in facts.columns:
+        return facts
+    return facts.withColumns({"_r": text.entity(F.col("relation")), "_s": text.entity(F.col("subject")), "_o": text.entity(F.col("object"))})
+
+
+def _norm(s: str) -> str:
+    """What text.entity makes of a constant."""
+    return re.sub(r"\s+", " ", s.lower().strip(" \t\r\n\x0b\f" + text.QUOTES))
+
+
 def matching(facts: DataFrame, pattern: Pattern) -> DataFrame:
     """Facts of a pattern's relation that its constants allow, with the fact's place, and for each variable a column and its key.
 
-    Spellings count by their normalised form: `?a` has a column a as the fact spells it, and _key_a, on which patterns join.
+    `?a` has a column a as the fact spells it, and _key_a, on which patterns join.  Facts that are `keyed` and stored are filtered
+    where they are read.
     """
-    same = text.entity(F.col("relation")) == text.entity(F.lit(pattern.family or pattern.relation))
-    rows = facts.where(same)
-    for end, value in (("subject", pattern.subject), ("object", pattern.object)):
+    rows = keyed(facts).where(F.col("_r") == _norm(pattern.family or pattern.relation))
+    for end, value, key in (("subject", pattern.subject, "_s"), ("object", pattern.object, "_o")):
         if not is_variable(value):
-            names = [value, *pattern.aliases.get(end, ())]
-            rows = rows.where(F.array_contains(F.array(*[text.entity(F.lit(n)) for n in names]), text.entity(F.col(end))))
+            rows = rows.where(F.col(key).isin(*[_norm(n) for n in (value, *pattern.aliases.get(end, ()))]))
     out = [F.col("source_ref").alias(f"ref_{pattern.id}"), F.col("stream_position").alias(f"at_{pattern.id}")]
-    for end, value in (("subject", pattern.subject), ("object", pattern.object)):
+    for end, value, key in (("subject", pattern.subject, "_s"), ("object", pattern.object, "_o")):
         if is_variable(value):
-            out += [F.col(end).alias(value[1:]), text.entity(F.col(end)).alias(f"_key_{value[1:]}")]
+            out += [F.col(end).alias(value[1:]), F.col(key).alias(f"_key_{value[1:]}")]
     return rows.select(*out)
 
 
 def path_join(facts: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """All bindings of the patterns' variables: one equi-join for each pattern, on the keys of the variables that it shares.
 
-    A variable is given as the first pattern that has it spells it.
+    Facts are normalised once, into a stored table of keys that every pattern reads with its own filter; a variable is given as the
+    first pattern that has it spells it.
     """
     left = list(patterns)
+    if len(left) > 1:
+        facts = stored(keyed(facts.select("subject", "relation", "object", "source_ref", "stream_position")), "facts")
     bound = matching(facts, left[0])
     names = {v[1:] for v in (left[0].subject, left[0].object) if is_variable(v)}
     del left[0]

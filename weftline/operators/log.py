@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text in one spelling: keys of every object in order, no white space; null for what is no JSON.  Arrays keep their order."""
+    return F.to_json(F.try_parse_json(text))  # a parsed object holds its keys in order
+
+
 def content_id(*parts: str | Column) -> Column:
-    """An id by content."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    """An id by content: the hash of the parts' canonical JSON, so that the order of fields, in nested ones too, doesn't count."""
+    return F.sha2(canonical_json(F.to_json(F.struct(*parts))), 256)
 
 
 def append(log: DataFrame, new: DataFrame) -> DataFrame:

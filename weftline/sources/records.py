@@ -119,7 +119,7 @@ def short_prompts(df: DataFrame, length: Column, most: int) -> DataFrame:
 
 
 def chosen_samples(df: DataFrame, id_col: str, order: str, ids: Sequence[str] | None = None, start: int = 0, count: int | None = None) -> DataFrame:
-    """The samples named, or `count` of them from place `start` on in an order; an id that isn't there raises."""
+    """The samples named, or `count` of them from place `start` on in an order; an id that isn't there raises, and so does a start past the end."""
     if ids is not None:
         wanted = df.sparkSession.createDataFrame([(i,) for i in ids], "_id string")
         rows = df.join(F.broadcast(wanted), F.col(id_col).cast("string") == F.col("_id")).drop("_id")
@@ -127,6 +127,8 @@ def chosen_samples(df: DataFrame, id_col: str, order: str, ids: Sequence[str] |
         if lacking:
             raise ValueError(f"no such samples: {sorted(lacking)}")
         return rows
+    if df.limit(start + 1).count() <= start:
+        raise ValueError(f"no sample at place {start}")
     return df.orderBy(order).offset(start).limit(count) if count is not None else df.orderBy(order).offset(start)
 
 
