@@ -1,5 +1,6 @@
 """Text functions over documents, conversations and benchmark items."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -31,10 +32,21 @@ def _(t):
     return t("benchmark").select("item_id", text.bare_answer(F.col("text")).alias("answer"))
 
 
-@query("exact_and_sub_match", "SELECT conv_id, turn, text = text AS same, contains(text || 'x', text) AS part FROM conversations")
+_BARE = r"""array_to_string(list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"""
+
+
+@query(
+    "exact_and_sub_match",
+    f"""WITH p AS (SELECT conv_id, turn, text AS x, CASE turn % 4 WHEN 0 THEN 'The ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!' WHEN 1 THEN text || ' and, more' WHEN 2 THEN reverse(text) ELSE lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS y FROM conversations),
+b AS (SELECT conv_id, turn, y IS NULL AS none, {_BARE.format('x')} AS x, {_BARE.format('y')} AS y FROM p)
+SELECT conv_id, turn, CASE WHEN NOT none THEN x = y END AS same, CASE WHEN NOT none THEN contains(x, y) OR contains(y, x) END AS part FROM b""",
+)
 def _(t):
-    a, b = F.col("text"), F.concat(F.lit("The "), "text", F.lit("!"))
-    return t("conversations").select("conv_id", "turn", text.exact_match(a, b).alias("same"), text.either_contains(a, F.concat("text", F.lit(" more"))).alias("part"))
+    """A turn against itself in another spelling, itself and more, itself backwards, and the turn after it."""
+    k, following = F.col("turn") % 4, F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    other = F.when(k == 0, F.concat(F.lit("The "), F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("!"))).when(k == 1, F.concat("text", F.lit(" and, more"))).when(k == 2, F.reverse("text")).otherwise(following)
+    rows = t("conversations").withColumn("y", other)
+    return rows.select("conv_id", "turn", text.exact_match(F.col("text"), F.col("y")).alias("same"), text.either_contains(F.col("text"), F.col("y")).alias("part"))
 
 
 @query("phrase_mentions", "SELECT doc_id, regexp_matches(' ' || lower(replace(text, chr(10), ' ')) || ' ', '[^\\p{L}\\p{N}\\p{M}_]the of[^\\p{L}\\p{N}\\p{M}_]') AS found FROM documents".replace("\\\\", "\\"))
@@ -81,9 +93,16 @@ def _(t):
     return _responses(t).select("conv_id", "turn", F.md5(text.after_think(F.col("r"))).alias("digest"))
 
 
-@query("the_answer_is", "SELECT conv_id, turn, 'no ' || turn AS answer FROM conversations")
+@query(
+    "the_answer_is",
+    """WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || ' so the answer is **no ' || turn || '**. ' WHEN 1 THEN 'the answer is 5. No: the answer is  .' || text || '.. ' ELSE text || ' The Answer is 7' END AS said FROM conversations),
+p AS (SELECT *, replace(said, '*', '') AS plain FROM s)
+SELECT conv_id, turn, CASE WHEN contains(plain, 'the answer is') THEN trim(regexp_replace(trim(list_last(string_split(plain, 'the answer is')), ' '), '^\\.+|\\.+$', '', 'g'), ' ') END AS answer FROM p""".replace("\\\\", "\\"),
+)
 def _(t):
-    said = F.concat("text", F.lit(" so the answer is **no "), "turn", F.lit("**. "))
+    """One phrase, two of them (the last counts), and another spelling that is none; texts may have the phrase themselves."""
+    k = F.col("turn") % 3
+    said = F.when(k == 0, F.concat("text", F.lit(" so the answer is **no "), "turn", F.lit("**. "))).when(k == 1, F.concat(F.lit("the answer is 5. No: the answer is  ."), "text", F.lit(".. "))).otherwise(F.concat("text", F.lit(" The Answer is 7")))
     return t("conversations").select("conv_id", "turn", text.the_answer_is(said).alias("answer"))
 
 
