@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import batches, claims, gold, graphs, reading, runs, scores, streams, texts, validation  # noqa: E402,F401
+from . import batches, claims, gold, graphs, reading, rows, runs, scores, streams, texts, validation  # noqa: E402,F401

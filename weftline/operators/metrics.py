@@ -62,7 +62,7 @@ def poisson_bootstrap(df: DataFrame, group: Sequence[str], row: Column, value: C
     A reducer takes (value, weight) and gives an aggregate, such as F.sum(v * w) / F.sum(w).  Each row has a Poisson weight in
     each draw instead of being drawn, so a resample is an aggregate like any other: it is summed up where the rows are,
     and what is shuffled is a row for each task, group and draw.  Reducers that aren't sums work too, if they leave weight 0 out.
-    The deviation of a mean is by (n - 1) / n in its square below that of n draws with replacement, on average.
+    The deviation of a mean is that of n draws with replacement, s / sqrt(n), to the first order in 1 / n.
     """
     weighed = df.select(*group, value.alias("_v"), row.alias("_row")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     weighed = weighed.withColumn("_w", poisson_weight(F.col("_row"), F.col("_draw"), seed)).where("_w > 0")
