@@ -316,8 +316,9 @@ def test_bootstrapping_finds_identifiers_of_unseen_shapes(spark):
     assert not any(got[len(texts) + i] for i in range(len(clean)))
 
 
-def brute_found(texts, min_share=0.5, min_known=3):
-    """All spans of each text, by the definition of the graph, in plain loops."""
+def brute_found(texts):
+    """All spans of each text, by the definition of the graph, in plain loops; a bare word's context needs 0.8 of 5, others 0.5 of 3."""
+    least = lambda c: (0.8, 5) if c.startswith("word ") else (0.5, 3)
     base = [personal_data.base_spans(t or "") for t in texts]
     cands = [personal_data.candidates(t or "", b) for t, b in zip(texts, base, strict=True)]
     edges, seeds = {}, set()
@@ -330,7 +331,7 @@ def brute_found(texts, min_share=0.5, min_known=3):
     known, good, before = set(seeds), set(), None
     while good != before:
         before = good
-        good = {c for c, own in edges.items() if len(own & known) >= min_known and len(own & known) >= min_share * len(own)}
+        good = {c for c, own in edges.items() if len(own & known) >= least(c)[1] and len(own & known) / len(own) >= least(c)[0]}
         known = seeds | {i for c in good for i in edges[c]}
     return [b + sorted({("secret", s, e) for s, e, _, seed, c in found if s >= 0 and (seed or good & set(c))}) for b, found in zip(base, cands, strict=True)]
 
