@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..tables import stored
 
 ORDERS = ("original", "reverse", "shuffle", "interleaved", "distant")
 
@@ -132,6 +133,10 @@ def document_context(manifest: DataFrame, refs: DataFrame) -> DataFrame:
     return at.join(manifest.select("sample_id", "document_id", "source_ref"), ["sample_id", "document_id"]).select("anchor", "source_ref")
 
 
+#: Pairs of a phrase and a sentence (some 100 bytes) that are sent to every task; more are joined by a shuffle.
+MOST_PAIRS = 1 << 18
+
+
 def folded(c: Column) -> Column:
     """Lower case, single spaces."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
@@ -158,7 +163,9 @@ def mention_hits(manifest: DataFrame, phrases: DataFrame) -> DataFrame:
         grams = lambda k: F.when(F.length("low") >= k, F.transform(F.sequence(F.lit(1), F.length("low") - k + 1), lambda i: F.array_join(F.slice("chars", i, k), ""))).otherwise(F.expr("cast(array() as array<string>)"))
         spelt = texts.withColumn("chars", F.split("low", "")).select(*place, F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("key"))
         pairs = pairs.unionByName(spelt.join(alone, "key").select(*place, "phrase"))
-    found = pairs.join(texts, place).where(F.contains("low", "phrase")).select("phrase", *place)
+    pairs = stored(pairs, "pairs")
+    few = pairs.count() <= MOST_PAIRS
+    found = texts.join(F.broadcast(pairs) if few else pairs, place).where(F.contains("low", "phrase")).select("phrase", *place)
     if "title" in manifest.columns:
         found = found.unionByName(manifest.select(*place, folded(F.col("title")).alias("phrase")).join(asked.select("phrase"), "phrase").select("phrase", *place))
     return found.distinct()
