@@ -90,7 +90,7 @@ def test_mention_search_takes_any_number_of_words(spark):
     assert got == {f"word{k}x": f"r{k // 100}" for k in range(n)} | dict.fromkeys(["uick", "é𝄞ö", "ö", "𝄞ö"], "q") | {"fox": "q"}
 
 
-@pytest.mark.parametrize("name", ["ge"])
+@pytest.mark.parametrize("name", ["ge", "le"])
 def test_an_equal_price_is_not_less_or_more(spark, duck, tmp_path, name):
     prices = [149999.99, 150000.0, 149999.995, 150000.01, 1e7, 0.0, None]
     spark.createDataFrame([(k, 1, datetime.datetime(1996, 1, 15), p) for k, p in enumerate(prices)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
