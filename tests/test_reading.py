@@ -5,6 +5,7 @@ import resource
 
 from pyspark.sql import functions as F
 
+from weftline import catalog
 from weftline.operators import fold, frontier, memory, stream
 
 MANIFEST = "sample_id string, source_ref string, stream_position long, title string, text string"
@@ -47,6 +48,59 @@ def test_titles_and_spaces_in_mentions(spark):
     assert stream.mention_search(m.drop("title"), spark.createDataFrame([("the sea",)], "phrase string"), 5).count() == 1
 
 
+def test_mentions_by_task_are_those_by_join(spark, monkeypatch):
+    """Both ways, with a limit and without, against brute force; a repeated row counts each time."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abÉ𝄞", k=rng.randint(1, 5)))
+    lines = [(rng.choice(["s", "T  u", None]), f"r{i}", rng.choice([None, "A b", "ab"]), rng.choice([None, "", " ".join(word() for _ in range(9)), word() * 20])) for i in range(150)]
+    lines = [(s, r, i // 2, t, x) for i, (s, r, t, x) in enumerate(lines)] + [("s", "twice", 9, "ab", "ab a\tb")] * 2
+    phrases = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(300)}) + ["ab", "A  B", " "]
+    m, asked = spark.createDataFrame(lines, MANIFEST).repartition(3), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    low = lambda x: " ".join((x or "").lower().split())
+    want = sorted((p, r) for p in {low(p) for p in phrases} - {""} for _, r, _, t, x in lines if p in low(x) or p == low(t))
+    firsts = {}
+    for limit, most in ((None, stream.MOST_ASKED), (3, stream.MOST_ASKED), (3, -1), (None, -1)):
+        monkeypatch.setattr(stream, "MOST_ASKED", most)
+        if limit is None:
+            assert sorted((h.phrase, h.source_ref) for h in stream.mention_hits(m, asked).collect()) == want
+        else:
+            firsts[most] = sorted((h.phrase, h.source_ref, h.place) for h in stream.mention_search(m, asked, limit, ["sample_id", "stream_position", "source_ref"]).collect())
+    key = {r: (s is not None, s, p, r) for s, r, p, _, _ in lines}
+    by_phrase = {p: sorted((key[r], r) for q, r in want if q == p) for p in {p for p, _ in want}}
+    assert firsts[-1] == sorted((p, r, n + 1) for p, hits in by_phrase.items() for n, (_, r) in enumerate(hits[:3]))
+    assert all(f == firsts[-1] for f in firsts.values()) and len(firsts) == 2
+
+
+def test_what_a_task_forgets_changes_no_mention(monkeypatch):
+    monkeypatch.setattr(stream, "MOST_WORDS", 3)
+    monkeypatch.setattr(stream, "MOST_KEPT", 7)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 4)))
+    phrases = {" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)}
+    texts = [" ".join(word() for _ in range(rng.randint(1, 8))) for _ in range(200)]
+    for asked in (phrases, {p for p in phrases if " " in p}, {p for p in phrases if " " not in p}):
+        find = stream._finder(asked)
+        assert all(find(t) == {p for p in asked if p in t} for t in texts)
+    hits = [(p, (n,), (n,)) for n in rng.sample(range(300), 300) for p in "xyz" if n % 3 or p == "x"]
+    kept = list(stream._firsts(hits, 4))
+    assert len(kept) < len(hits)
+    for p in "xyz":
+        assert sorted(k for q, k, _ in kept if q == p)[:4] == sorted(k for q, k, _ in hits if q == p)[:4]
+
+
+def test_titles_search_shuffles_less_than_its_texts(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(d, "\n".join(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12)) for _ in range(20)), f"src{d % 4}") for d in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"{c} x") for i, c in enumerate("abcd")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    got = catalog.QUERIES["mention_titles"](spark, str(tmp_path)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < sum(len(t) for _, t, _ in docs) / 10
+    assert sorted((r.phrase, r.place) for r in got) == sorted((p, n) for p in [*"abcd", *(f"src{k}" for k in range(4))] for n in range(1, 5))
+
+
 def test_admission_passes_over_what_does_not_fit(spark):
     queue = [("r", "a", 1, 3), ("r", "b", 2, 5), ("r", "a", 3, 1), ("r", "c", 4, 2), ("r", "d", 5, 1), ("r", "e", 6, 1), ("q", "a", 1, 9), ("z", "a", 1, 1)]
     got = frontier.admit(spark.createDataFrame(queue, "run_id string, claim_id string, place int, calls int"), spark.createDataFrame([("r", 6, 3), ("q", 5, 5)], "run_id string, most_calls int, most_claims int")).collect()

@@ -6,7 +6,7 @@ from ..operators import frontier, memory, stream
 from ..sources import objects
 from ..tables import new_path, stored
 from . import query
-from .streams import _LINES, _PHRASES, _phrases, manifest
+from .streams import _LINES, _PHRASES, _phrases, manifest, sentences
 
 _M = f"{_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY doc_rank, sentence_id) - 1 AS p FROM refs)"
 _FOLDED = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -21,7 +21,7 @@ SELECT phrase, source_ref, place FROM hits WHERE place <= 4""",
 def _(t):
     """Titles (here a sample's name in capitals) count as mentions of every sentence under them."""
     phrases = t("documents").where("source is not null").select(F.concat(F.lit("  "), F.upper("source")).alias("phrase")).unionByName(t("benchmark").select(F.element_at(F.split("text", " "), 1).alias("phrase")))
-    return stream.mention_search(manifest(t).withColumn("title", F.upper("sample_id")), phrases, 4)
+    return stream.mention_search(sentences(t).withColumn("title", F.upper("sample_id")), phrases, 4, ["sample_id", "doc_rank", "sentence_id"])
 
 
 @query(
